@@ -13,6 +13,44 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airlock.llm.topk import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airlock.llm.language_id import held_out
+    from airlock.llm.toxicity import THRESHOLD, score, train
+
+    docs = _documents(spark, sf_dir)
+    tested = held_out("doc_id", parts=3, part=1)
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~tested)
+    return score(docs, model).select("doc_id", tested.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+#: Two turns that hold the template's own control strings.
+HARD_CHAT = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airlock.llm.chat import format_chats, loss_text, read_back
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rows = ", ".join(f"({c}L, {t}L, '{r}', r'{x}')" for c, t, r, x in HARD_CHAT)
+    chats = format_chats(turns.union(spark.sql(f"SELECT * FROM VALUES {rows}")))
+    read = chats.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from airlock.llm.packing import pack
 
@@ -26,9 +64,46 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(_documents(spark, sf_dir))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airlock.llm.language_id import held_out, identify, train
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    found = identify(docs.select("doc_id", "text"), train(docs, ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
+    "op3_toxicity": op3_toxicity,
+    "op4_chat_format": op4_chat_format,
     "op5_packing": op5_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_language_id": op9_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_TURNS = """t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok'))"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk": """
+WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
+      FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+WHERE rank <= 10""",
+    "op4_chat_format": f"""
+WITH {_TURNS},
+e AS (SELECT *, replace(replace(replace(text, '\\', '\\s'), '###', '\\h'), '</turn>', '\\t') AS body,
+             replace(replace(replace(replace(role, '\\', '\\s'), '###', '\\h'), '</turn>', '\\t'), ':', '\\c') AS said,
+             lag(role) OVER w AS before, row_number() OVER w AS k
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(CASE WHEN before = role THEN 0 WHEN k > 1 THEN 7 + length(said) ELSE 6 + length(said) END + length(body) + 7)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""",
+}
