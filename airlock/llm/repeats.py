@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlock.llm.flat import flat, mix, pieces, prefix, span_hash, window_starts, word_hashes, words
+from airlock.llm.flat import flat, mix, pieces, prefix, ranges, span_hash, window_hashes, window_starts, word_hashes, words
 from airlock.llm.store import written
 
 #: A run's row keeps its number of windows in the low bits of the text's hash.
 _RUN_BITS = 7
-_LOC = "_doc long, _t int"
 
 
 @dataclass(frozen=True)
@@ -138,6 +137,42 @@ def find(docs: DataFrame, symbols: Callable, window: int, seed: int, within_rows
     return Repeats(slim, told.where(earlier).select(*place), told.where(~earlier & (F.col("n_texts") > 1)).select("seed", "n_texts", *place))
 
 
+def window_rows(docs: DataFrame, runs: DataFrame, symbols: Callable, window: int) -> DataFrame:
+    """Two hashes of every window of the runs, where it stands, and if its row has it before (again)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tags = batch.column(0), batch.column(1)
+            starts, at = lists(batch.column(3))
+            counts, _ = lists(batch.column(4))
+            for i, j, buf, offs in pieces(*flat(batch.column(2)), limit=1 << 19):
+                values, first = symbols(buf, offs)
+                part = slice(at[i], at[j])
+                owner = np.repeat(np.repeat(np.arange(j - i), np.diff(at[i : j + 1])), counts[part])
+                places = np.unique(first[owner] + ranges(starts[part], counts[part]))
+                owner = np.searchsorted(first, places, side="right") - 1
+                a, b = window_hashes(values, places, window)
+                by = np.lexsort((places, b, a, owner))
+                same = np.zeros(by.size, bool)
+                same[1:] = (owner[by][1:] == owner[by][:-1]) & (a[by][1:] == a[by][:-1]) & (b[by][1:] == b[by][:-1])
+                again = np.zeros(by.size, bool)
+                again[by] = same
+                pick = pa.array(owner + i)
+                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), ids.take(pick), tags.take(pick), pa.array(places - first[owner]), pa.array(again)], ["h", "g", "_doc", "_t", "start", "again"])
+
+    joined = docs.join(by_document(runs), ["_doc", "_t"]).select("_doc", "_t", "_text", "starts", "counts")
+    return joined.mapInArrow(run, "h long, g long, _doc long, _t int, start long, again boolean")
+
+
+def late_windows(docs: DataFrame, runs: DataFrame, symbols: Callable, window: int, within_rows: bool) -> DataFrame:
+    """Of the runs' windows, those that a document with a smaller id has, or the row itself before."""
+    windows = window_rows(docs, runs, symbols, window)
+    least = windows.groupBy("h", "g").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")).where("first < last")
+    late = windows.join(least, ["h", "g"]).where("_doc > first")
+    place = ["_doc", "_t", "start", F.lit(1).cast("long").alias("count")]
+    return late.select(*place).unionByName(windows.where("again").select(*place)) if within_rows else late.select(*place)
+
+
 def by_document(runs: DataFrame) -> DataFrame:
     """Runs of windows as two lists for each document: their starts and counts, in the same order."""
     pairs = runs.groupBy("_doc", "_t").agg(F.collect_list(F.struct("start", "count")).alias("r"))

@@ -16,35 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlock.llm.flat import flat, pieces, ranges, window_hashes, words
-from airlock.llm.repeats import by_document, covered, find, keyed, lists, word_symbols
+from airlock.llm.flat import flat, pieces, words
+from airlock.llm.repeats import by_document, covered, find, keyed, late_windows, lists, word_symbols
 
 WINDOW = 50
 
 
-def _window_rows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """Two hashes of every window of the runs, and where it stands."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, tags = batch.column(0), batch.column(1)
-            starts, at = lists(batch.column(3))
-            counts, _ = lists(batch.column(4))
-            for i, j, buf, offs in pieces(*flat(batch.column(2)), limit=1 << 19):
-                symbols, first = word_symbols(buf, offs)
-                part = slice(at[i], at[j])
-                row = np.repeat(np.arange(i, j), np.diff(at[i : j + 1]))
-                n = counts[part]
-                where = ranges(starts[part], n)
-                owner = np.repeat(row, n)
-                a, b = window_hashes(symbols, first[owner - i] + where, window)
-                pick = pa.array(owner)
-                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), ids.take(pick), tags.take(pick), pa.array(where)], ["h", "g", "_doc", "_t", "start"])
-
-    joined = docs.join(by_document(runs), ["_doc", "_t"]).select("_doc", "_t", "_text", "starts", "counts")
-    return joined.mapInArrow(run, "h long, g long, _doc long, _t int, start long")
-
-
 def remove_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words, n_removed, kept) of every row, without passages that an earlier document has.
 
@@ -56,13 +33,15 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     """
     base = keyed(docs, id_col, text_col)
     found = find(base, word_symbols, window, (window + 1) // 2, within_rows=False, name="seeds")
-    windows = _window_rows(found.docs, found.open, window)
-    least = windows.groupBy("h", "g").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")).where("first < last")
-    late = windows.join(least, ["h", "g"]).where("_doc > first").select("_doc", "_t", "start", F.lit(1).cast("long").alias("count"))
-    return drop_words(base, found.lost.unionByName(late), window, id_col)
+    late = late_windows(found.docs, found.open, word_symbols, window, within_rows=False)
+    known = drop_words(found.docs, found.lost.unionByName(late), window)
+    rest = drop_words(base.where(F.col("_doc").isNull()), None, window)
+    return known.unionByName(rest).withColumnRenamed("_doc", id_col)
+
 
+def drop_words(docs: DataFrame, runs: DataFrame | None, window: int) -> DataFrame:
+    """(_doc, n_words, n_removed, kept) of every row, without the words that the runs' windows cover."""
 
-def drop_words(base: DataFrame, runs: DataFrame, window: int, id_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, at = lists(batch.column(3))
@@ -82,8 +61,11 @@ def drop_words(base: DataFrame, runs: DataFrame, window: int, id_col: str) -> Da
                     kept.append(b" ".join([raw[x:y] for x, y in zip(b.tolist(), e.tolist(), strict=True)]).decode())
             yield pa.record_batch([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["_doc", "n_words", "n_removed", "kept"])
 
-    joined = base.join(by_document(runs), ["_doc", "_t"], "left").select("_doc", "_t", "_text", "starts", "counts")
-    return joined.mapInArrow(run, "_doc long, n_words long, n_removed long, kept string").withColumnRenamed("_doc", id_col)
+    if runs is None:
+        joined = docs.select("_doc", "_t", "_text", *(F.lit(None).cast("array<long>").alias(c) for c in ("starts", "counts")))
+    else:
+        joined = docs.join(by_document(runs), ["_doc", "_t"], "left").select("_doc", "_t", "_text", "starts", "counts")
+    return joined.mapInArrow(run, "_doc long, n_words long, n_removed long, kept string")
 
 
 def brute_force(rows: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple[int, int, int, str]]:
