@@ -19,6 +19,13 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airlock.llm.ngram_join import NgramJoin
+
+    found = NgramJoin(_documents(spark, sf_dir), n=3, percent=90).components()
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from airlock.llm.language_id import held_out
     from airlock.llm.toxicity import THRESHOLD, score, train
@@ -95,6 +102,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op4_chat_format": op4_chat_format,
     "op5_packing": op5_packing,
