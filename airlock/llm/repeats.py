@@ -89,10 +89,12 @@ class Repeats:
     open: DataFrame
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_doc, _t (tells rows of one id apart by their texts) and _text; null counts as empty."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """_doc, _t (tells rows of one id apart by their texts) and _text; null counts as empty. With
+    `carry` also _row, a struct of all columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("_doc"), text.alias("_text")).withColumn("_t", F.hash("_text").bitwiseAND(0x7FFFFFFF))
+    more = [F.struct("*").alias("_row")] if carry else []
+    return docs.select(F.col(id_col).cast("long").alias("_doc"), text.alias("_text"), *more).withColumn("_t", F.hash("_text").bitwiseAND(0x7FFFFFFF))
 
 
 def find(docs: DataFrame, symbols: Callable, window: int, seed: int, within_rows: bool, name: str) -> Repeats:

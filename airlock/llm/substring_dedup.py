@@ -32,15 +32,37 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     Other columns are not read, whatever their names.
     """
     base = keyed(docs, id_col, text_col)
+    kept = _kept(base, _repeated(base, window), window)
+    return kept.withColumnRenamed("_doc", id_col)
+
+
+def without_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with all its columns, the text of each row without the passages of remove_passages.
+
+    A text that loses nothing stays as it is; of others the remaining words are joined by a space.
+    No row goes, also not one that loses all its words.
+    """
+    base = keyed(docs, id_col, text_col, carry=True)
+    kept = _kept(base, _repeated(base.drop("_row"), window), window)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"_row.`{text_col}`")).alias(text_col)
+    return kept.select(*(text if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+
+
+def _repeated(base: DataFrame, window: int) -> DataFrame:
     found = find(base, word_symbols, window, (window + 1) // 2, within_rows=False, name="seeds")
-    late = late_windows(found.docs, found.open, word_symbols, window, within_rows=False)
-    known = drop_words(found.docs, found.lost.unionByName(late), window)
-    rest = drop_words(base.where(F.col("_doc").isNull()), None, window)
-    return known.unionByName(rest).withColumnRenamed("_doc", id_col)
+    return found.lost.unionByName(late_windows(found.docs, found.open, word_symbols, window, within_rows=False))
+
+
+def _kept(base: DataFrame, runs: DataFrame, window: int) -> DataFrame:
+    columns = ["_doc", "_t", "_text", *(["_row"] if "_row" in base.columns else [])]
+    known = drop_words(base.where(F.col("_doc").isNotNull()).select(*columns), runs, window)
+    return known.unionByName(drop_words(base.where(F.col("_doc").isNull()).select(*columns), None, window))
 
 
 def drop_words(docs: DataFrame, runs: DataFrame | None, window: int) -> DataFrame:
-    """(_doc, n_words, n_removed, kept) of every row, without the words that the runs' windows cover."""
+    """(_doc, n_words, n_removed, kept) of every row, and its _row if there is one, without the words
+    that the runs' windows cover."""
+    carried = ["_row"] if "_row" in docs.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,13 +81,14 @@ def drop_words(docs: DataFrame, runs: DataFrame | None, window: int) -> DataFram
                     total.append(int(first[k + 1] - first[k]))
                     removed.append(total[-1] - b.size)
                     kept.append(b" ".join([raw[x:y] for x, y in zip(b.tolist(), e.tolist(), strict=True)]).decode())
-            yield pa.record_batch([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["_doc", "n_words", "n_removed", "kept"])
+            yield pa.record_batch([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *(batch.column(c) for c in carried)], ["_doc", "n_words", "n_removed", "kept", *carried])
 
     if runs is None:
-        joined = docs.select("_doc", "_t", "_text", *(F.lit(None).cast("array<long>").alias(c) for c in ("starts", "counts")))
+        joined = docs.select("_doc", "_t", "_text", *(F.lit(None).cast("array<long>").alias(c) for c in ("starts", "counts")), *carried)
     else:
-        joined = docs.join(by_document(runs), ["_doc", "_t"], "left").select("_doc", "_t", "_text", "starts", "counts")
-    return joined.mapInArrow(run, "_doc long, n_words long, n_removed long, kept string")
+        joined = docs.join(by_document(runs), ["_doc", "_t"], "left").select("_doc", "_t", "_text", "starts", "counts", *carried)
+    schema = docs.select("_doc", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept"), *carried).schema
+    return joined.mapInArrow(run, schema)
 
 
 def brute_force(rows: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple[int, int, int, str]]:
