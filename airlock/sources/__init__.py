@@ -1,0 +1 @@
+"""Readers of messages, requests and events, and writers of the audit log."""
