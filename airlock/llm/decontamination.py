@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlock.llm.flat import flat, pieces, prefix, ranges, span_hash, window_starts, word_hashes, words
+from airlock.llm.flat import flat, mix, pieces, powers, prefix, ranges, span_hash, word_hashes, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -35,6 +35,7 @@ RADIUS = 31
 #: Characters of a slice of the benchmark, as it is sent to the executors.
 SLICE_CHARS = 16_000_000
 _BLOCK_BITS = BITS // BLOCKS
+_MARK_BITS = 20
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -101,7 +102,13 @@ class _Length:
         mine, theirs = _blocks(self.prints), _blocks(prints)
         pairs = [np.zeros(0, np.int64)]
         n = len(self.items)
-        for b in range(BLOCKS):
+        if n <= _probes().size:  # fewer items than patterns: try the items' blocks instead
+            for k in range(0, len(prints), max(1, (1 << 18) // n)):
+                part = theirs[k : k + max(1, (1 << 18) // n)]
+                apart = np.bitwise_count(part[:, None, :] ^ mine[None, :, :]).min(2)
+                window, item = np.nonzero(apart <= RADIUS // BLOCKS)
+                pairs.append((k + window) * n + item)
+        for b in range(BLOCKS if n > _probes().size else 0):
             order = np.argsort(mine[:, b], kind="stable")
             values = mine[order, b]
             for k in range(0, len(prints), 4096):
@@ -121,6 +128,7 @@ class _Length:
 class Index:
     lengths: list[_Length]
     known: dict[int, np.ndarray]  # of each shingle length, the items' shingle hashes in order
+    marks: dict[int, np.ndarray]  # and which leading bits they have
 
 
 def index_of(ids: list, texts: list[str]) -> Index:
@@ -136,7 +144,11 @@ def index_of(ids: list, texts: list[str]) -> Index:
         shingles = span_hash(sums, at, at + k)
         lengths.append(_Length(m, k, [ids[i] for i in rows.tolist()], shingles, fingerprints(shingles)))
         known.setdefault(k, []).append(shingles.ravel())
-    return Index(lengths, {k: np.unique(np.concatenate(v)) for k, v in known.items()})
+    hashes = {k: np.unique(np.concatenate(v)) for k, v in known.items()}
+    marks = {k: np.zeros(1 << _MARK_BITS, bool) for k in hashes}
+    for k, h in hashes.items():
+        marks[k][(h >> np.uint64(64 - _MARK_BITS)).astype(np.int64)] = True
+    return Index(lengths, hashes, marks)
 
 
 def search(index: Index, buf: np.ndarray, offs: np.ndarray, threshold: float) -> tuple[np.ndarray, list, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,10 +158,14 @@ def search(index: Index, buf: np.ndarray, offs: np.ndarray, threshold: float) ->
     out: list[tuple] = []
     flags = {}
     for k, known in index.known.items():
-        start, _ = window_starts(first, k)
-        h = span_hash(sums, start, start + k)
-        at = np.minimum(np.searchsorted(known, h), known.size - 1)
-        flags[k] = start[known[at] == h]
+        n = symbols.size - k + 1
+        if n <= 0:
+            flags[k] = np.zeros(0, np.int64)
+            continue
+        h = mix((sums[k:] - sums[:-k]) * powers(symbols.size)[1][:n])
+        start = np.flatnonzero(index.marks[k][(h >> np.uint64(64 - _MARK_BITS)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(known, h[start]), known.size - 1)
+        flags[k] = start[known[at] == h[start]]  # also across rows, which no window does
     for group in index.lengths:
         inside = group.words - group.shingle + 1
         need = max(1, int(np.ceil(threshold * inside - 1e-9)))
