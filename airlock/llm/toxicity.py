@@ -24,7 +24,7 @@ BUCKET_BITS = 16
 DIMENSIONS = 8
 #: A model is fitted on at most this many rows of each label, those whose ids hash lowest, and
 #: only on texts up to this many characters. Scoring has no such bounds.
-TRAIN_ROWS = {1: 1200, 0: 1800}
+TRAIN_ROWS = {1: 800, 0: 1400}
 TRAIN_CHARS = 200_000
 THRESHOLD = 0.7
 _PRIOR = -9.0
@@ -108,7 +108,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 70, rate: float = 0.0
     raw = data.tobytes()
     wrong = [misspelt(raw[a:b], rng) for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
     edges = np.concatenate([[0], np.cumsum([len(w) for w in wrong])])
-    forms = [bags(data, starts[where], ends[where]), bags(np.frombuffer(b"".join(wrong), np.uint8), edges[:-1], edges[1:])]
+    forms = bags(data, starts[where], ends[where]), bags(np.frombuffer(b"".join(wrong), np.uint8), edges[:-1], edges[1:])
     docs = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first))
     share = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     weight = np.where(toxic == 1, 0.5 / share[0], 0.5 / share[1])
