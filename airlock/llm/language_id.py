@@ -150,7 +150,7 @@ def identify(docs: DataFrame, model: CodeModel | None, text_col: str = "text", p
         for batch in batches:
             best, score, close = [], [], []
             buf, offs = flat(batch.column(text_col))
-            letters = batch.column("_letters").to_numpy(zero_copy_only=False)
+            letters = batch.column("_airlock_letters").to_numpy(zero_copy_only=False)
             for i, j, part, at in pieces(buf, offs, 1 << 18):
                 for k in range(0, j - i, _ROWS_AT_ONCE):
                     rows = at[k : k + _ROWS_AT_ONCE + 1]
@@ -162,14 +162,14 @@ def identify(docs: DataFrame, model: CodeModel | None, text_col: str = "text", p
             out = [UNDETERMINED if not ok else b for b, ok in zip(best, letters, strict=True)]
             score = np.where(letters, score, 0.0).astype(float)
             close = np.where(letters, close, True).astype(bool)
-            kept = [c for c in batch.schema.names if c != "_letters"]
+            kept = [c for c in batch.schema.names if c != "_airlock_letters"]
             yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(out, pa.string()), pa.array(score), pa.array(close)], [*kept, *names])
 
     if model is None:
         return docs.withColumns({names[0]: F.lit(UNDETERMINED), names[1]: F.lit(0.0), names[2]: F.lit(True)})
     schema = docs.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(True).alias(names[2])).schema
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn("_letters", letters).mapInArrow(run, schema)
+    return docs.withColumn("_airlock_letters", letters).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
