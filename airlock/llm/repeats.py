@@ -18,11 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlock.llm.flat import flat, mix, pieces, prefix, ranges, span_hash, window_hashes, window_starts, word_hashes, words
-from airlock.llm.store import written
+from airlock.llm.flat import flat, mix, pieces, powers, prefix, ranges, span_hash, window_hashes, window_starts, word_hashes, words
+from airlock.llm.store import discard, written
 
 #: A run's row keeps its number of windows in the low bits of the text's hash.
 _RUN_BITS = 7
+#: A filter of repeated seeds has about 8 bits for each, and at most 2 ** 28 (32 MB). It only spares
+#: rows a shuffle; when it is too full to tell seeds apart, the join alone decides.
+_FILTER_BITS = 28
+#: Runs that are broadcast to their documents; more are joined by a shuffle.
+BROADCAST_RUNS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -47,15 +52,13 @@ def byte_symbols(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
     """At each place, where the least of the next `width` values is (the first of equal ones)."""
-    best, span = np.arange(h.size, dtype=np.int32), 1
-
-    def better(step: int) -> np.ndarray:
-        left, right = best[:-step], best[step:]
-        return np.where(h[right] < h[left], right, left)
-
+    # High halves of the hashes with places below them: the least of these is found without gathers.
+    best, span = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(h.size, dtype=np.uint64), 1
     while span * 2 <= width:
-        best, span = better(span), span * 2
-    return better(width - span) if span < width else best
+        best, span = np.minimum(best[:-span], best[span:]), span * 2
+    if span < width:
+        best = np.minimum(best[: span - width], best[width - span :])
+    return (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def runs_of(symbols: np.ndarray, first: np.ndarray, window: int, seed: int) -> Runs:
@@ -64,8 +67,10 @@ def runs_of(symbols: np.ndarray, first: np.ndarray, window: int, seed: int) -> R
     if not start.size:
         return Runs(none, none, none, none, none)
     sums = prefix(symbols)
-    at = np.arange(symbols.size - seed + 1)
-    h = span_hash(sums, at, at + seed)
+    h = (sums[seed:] - sums[:-seed]) * powers(symbols.size)[1][: symbols.size - seed + 1]
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
     least = _least(h, window - seed + 1)[start]
     new = np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:] != row[:-1])])
     i = np.flatnonzero(new)
@@ -97,6 +102,18 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> D
     return docs.select(F.col(id_col).cast("long").alias("_doc"), text.alias("_text"), *more).withColumn("_t", F.hash("_text").bitwiseAND(0x7FFFFFFF))
 
 
+def _filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for each of 2 ** bits endings of a seed, set where a seed ends so. (Seeds are the least
+    of many hashes: their leading bits are mostly alike.)"""
+    bits = min(_FILTER_BITS, max(16, (8 * seeds.count()).bit_length()))
+    at = F.col("seed").bitwiseAND((1 << bits) - 1)
+    parts = seeds.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(seed & 63 AS INT))").alias("bit"))
+    table = parts.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[table["word"].to_numpy()] = table["bit"].to_numpy().view(np.uint64)
+    return out, bits
+
+
 def find(docs: DataFrame, symbols: Callable, window: int, seed: int, within_rows: bool, name: str) -> Repeats:
     """Runs that repeat in other rows, and with `within_rows` in the row itself."""
     if not 0 < window - seed + 1 < 1 << _RUN_BITS:
@@ -111,6 +128,9 @@ def find(docs: DataFrame, symbols: Callable, window: int, seed: int, within_rows
                     if not full:
                         yield pa.record_batch([pa.array(r.seed), pa.array(ids[i + r.row])], ["seed", "_doc"])
                         continue
+                    at = r.seed.view(np.uint64) & np.uint64((1 << bits) - 1)
+                    maybe = (filter_words.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    r = Runs(*(x[maybe] for x in (r.row, r.start, r.count, r.seed, r.text)))
                     loc = tags[i + r.row].astype(np.int64) << 32 | r.start
                     if within_rows:  # a later run of the same text in one row: marked by the sign
                         by = np.lexsort((r.start, r.text, r.seed, r.row))
@@ -129,55 +149,135 @@ def find(docs: DataFrame, symbols: Callable, window: int, seed: int, within_rows
         seeds = seeds.agg(F.count("*").alias("n")).where("n > 1")
     else:
         seeds = seeds.agg(F.min("_doc").alias("a"), F.max("_doc").alias("b")).where("a < b")
+    seeds = written(seeds.select("seed"), f"{name}-repeated")
+    packed, bits = _filter(seeds)
+    filter_words = docs.sparkSession.sparkContext.broadcast(packed)
     rows = slim.mapInArrow(emit(True), "seed long, text long, _doc long, loc long")
-    hit = written(rows.join(seeds.select("seed"), "seed"), name)
+    hit = written(rows.join(seeds, "seed"), name)
+    discard(seeds)
     texts = hit.groupBy("seed", "text").agg(F.min("_doc").alias("first"))
     several = texts.groupBy("seed").agg(F.count("*").alias("n_texts"))
     told = hit.join(texts.join(several, "seed"), ["seed", "text"])
     place = [F.col("_doc"), F.shiftrightunsigned("loc", 32).bitwiseAND(0x7FFFFFFF).cast("int").alias("_t"), F.col("loc").bitwiseAND(0xFFFFFFFF).alias("start"), F.col("text").bitwiseAND((1 << _RUN_BITS) - 1).alias("count")]
-    earlier = (F.col("_doc") > F.col("first")) | (F.col("loc") < 0)
-    return Repeats(slim, told.where(earlier).select(*place), told.where(~earlier & (F.col("n_texts") > 1)).select("seed", "n_texts", *place))
+    late = ((F.col("_doc") > F.col("first")) | (F.col("loc") < 0)).alias("late")
+    told = written(told.select("seed", "n_texts", late, *place).where("late or n_texts > 1"), f"{name}-told")
+    discard(hit)
+    return Repeats(slim, told.where("late").select("_doc", "_t", "start", "count"), told.where("not late").drop("late"))
+
+
+def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """_doc, _t, _text of the documents that have runs, with the runs' starts, counts and seeds."""
+    grouped = runs.groupBy("_doc", "_t").agg(F.collect_set(F.struct("start", "count", "seed")).alias("r"))
+    named = grouped.select("_doc", "_t", F.col("r.start").alias("starts"), F.col("r.count").alias("counts"), F.col("r.seed").alias("seeds"))
+    small = runs.count() <= BROADCAST_RUNS
+    return docs.join(F.broadcast(named) if small else named, ["_doc", "_t"]).select("_doc", "_t", "_text", "starts", "counts", "seeds")
 
 
-def window_rows(docs: DataFrame, runs: DataFrame, symbols: Callable, window: int) -> DataFrame:
-    """Two hashes of every window of the runs, where it stands, and if its row has it before (again)."""
+def _joined(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in rows as runs of neighbours: row, start and count."""
+    by = np.lexsort((place, row))
+    row, place = row[by], place[by]
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] > place[:-1] + 1)])) if row.size else row
+    return row[new], place[new], place[np.append(new[1:], place.size) - 1] - place[new] + 1 if row.size else place
+
+
+def _window_arrays(docs: DataFrame, runs: DataFrame, symbols: Callable, window: int) -> DataFrame:
+    """Each run with two hashes of every one of its windows. Without a seed, and with its count in
+    place of hashes: runs of windows that the row itself has before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags = batch.column(0), batch.column(1)
             starts, at = lists(batch.column(3))
             counts, _ = lists(batch.column(4))
+            seeds, _ = lists(batch.column(5))
             for i, j, buf, offs in pieces(*flat(batch.column(2)), limit=1 << 19):
                 values, first = symbols(buf, offs)
                 part = slice(at[i], at[j])
-                owner = np.repeat(np.repeat(np.arange(j - i), np.diff(at[i : j + 1])), counts[part])
-                places = np.unique(first[owner] + ranges(starts[part], counts[part]))
-                owner = np.searchsorted(first, places, side="right") - 1
+                owner = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
+                places = ranges(first[owner] + starts[part], counts[part])
                 a, b = window_hashes(values, places, window)
-                by = np.lexsort((places, b, a, owner))
-                same = np.zeros(by.size, bool)
-                same[1:] = (owner[by][1:] == owner[by][:-1]) & (a[by][1:] == a[by][:-1]) & (b[by][1:] == b[by][:-1])
+                of = np.repeat(owner, counts[part])
+                by = np.lexsort((places, b, a, of))
                 again = np.zeros(by.size, bool)
-                again[by] = same
+                again[by[1:]] = (of[by][1:] == of[by][:-1]) & (a[by][1:] == a[by][:-1]) & (b[by][1:] == b[by][:-1])
+                again_row, again_start, again_count = _joined(of[again], places[again] - first[of[again]])
+                if again_row.size:
+                    one = pa.array(np.arange(again_row.size + 1, dtype=np.int32))
+                    pick, none = pa.array(again_row + i), pa.array(np.zeros(again_row.size + 1, np.int32))
+                    n, empty = pa.ListArray.from_arrays(one, pa.array(again_count)), pa.ListArray.from_arrays(none, pa.array([], pa.int64()))
+                    yield pa.record_batch([pa.nulls(again_row.size, pa.int64()), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(again_start), n, empty], ["seed", "_doc", "_t", "start", "h", "g"])
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts[part])]).astype(np.int32))
                 pick = pa.array(owner + i)
-                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), ids.take(pick), tags.take(pick), pa.array(places - first[owner]), pa.array(again)], ["h", "g", "_doc", "_t", "start", "again"])
+                h, g = (pa.ListArray.from_arrays(ends, pa.array(x.view(np.int64))) for x in (a, b))
+                yield pa.record_batch([pa.array(seeds[part]), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(starts[part]), h, g], ["seed", "_doc", "_t", "start", "h", "g"])
+
+    return with_runs(docs, runs).mapInArrow(run, "seed long, _doc long, _t int, start long, h array<long>, g array<long>")
 
-    joined = docs.join(by_document(runs), ["_doc", "_t"]).select("_doc", "_t", "_text", "starts", "counts")
-    return joined.mapInArrow(run, "h long, g long, _doc long, _t int, start long, again boolean")
 
+def late_windows(docs: DataFrame, runs: DataFrame, symbols: Callable, window: int, within_rows: bool, name: str) -> DataFrame:
+    """Of the runs' windows, those that a document with a smaller id has, or the row itself before.
 
-def late_windows(docs: DataFrame, runs: DataFrame, symbols: Callable, window: int, within_rows: bool) -> DataFrame:
-    """Of the runs' windows, those that a document with a smaller id has, or the row itself before."""
-    windows = window_rows(docs, runs, symbols, window)
+    All runs of a seed are compared with its first one, which settles what they have in common
+    with it; equal windows have equal seeds, so what is left only has to be compared with what is
+    left, by hash.
+    """
+    every = written(_window_arrays(docs, runs, symbols, window), f"{name}-windows")
+    rows = every.where(F.col("seed").isNotNull())
+    firsts = rows.groupBy("seed").agg(F.min(F.struct("_doc", "_t", "start", "h", "g")).alias("f"))
+    firsts = firsts.select("seed", *(F.col(f"f.{c}").alias(f"f{c}") for c in ("_doc", "_t", "start", "h", "g")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, tag, start, f_doc, f_tag, f_start = (batch.column(c).to_numpy() for c in ("_doc", "_t", "start", "f_doc", "f_t", "fstart"))
+            (h, at), (g, _), (fh, f_at), (fg, _) = (lists(batch.column(c)) for c in ("h", "g", "fh", "fg"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            f_row = np.repeat(np.arange(batch.num_rows), np.diff(f_at))
+            place = start[row] + np.arange(h.size) - at[row]
+            # A window is its first run's, if a window of that run sorts right before it.
+            r, x, y = np.concatenate([f_row, row]), np.concatenate([fh, h]), np.concatenate([fg, g])
+            mine = np.repeat([False, True], [fh.size, h.size])
+            by = np.lexsort((mine, y, x, r))
+            new = np.ones(by.size, bool)
+            new[1:] = (r[by][1:] != r[by][:-1]) | (x[by][1:] != x[by][:-1]) | (y[by][1:] != y[by][:-1])
+            shared = np.empty(by.size, bool)
+            shared[by] = ~mine[by][np.maximum.accumulate(np.where(new, np.arange(by.size), 0))]
+            shared = shared[fh.size :]
+            later = doc > f_doc
+            if within_rows:
+                later |= (doc == f_doc) & (tag == f_tag) & (start > f_start)
+            for late, which in ((True, shared & later[row]), (False, ~shared)):
+                w = np.flatnonzero(which)
+                yield pa.record_batch([pa.array(np.full(w.size, late)), pa.array(h[w]), pa.array(g[w]), pa.array(doc[row[w]]), pa.array(tag[row[w]]), pa.array(place[w])], ["late", "h", "g", "_doc", "_t", "start"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in compare(batches):
+            if not batch.num_rows or not batch.column(0)[0].as_py():
+                yield batch
+                continue
+            # Late windows that follow each other are one row; their hashes no longer matter.
+            doc, tag, start = (batch.column(c).to_numpy() for c in (3, 4, 5))
+            _, row = np.unique(np.stack([doc, tag.astype(np.int64)]), axis=1, return_inverse=True)
+            first = np.unique(row, return_index=True)[1]
+            row, start, n = _joined(row, start)
+            yield pa.record_batch([pa.array(np.full(n.size, True)), pa.array(n), pa.array(n), pa.array(doc[first][row]), pa.array(tag[first][row]), pa.array(start)], batch.schema.names)
+
+    told = written(rows.join(firsts, "seed").mapInArrow(joined, "late boolean, h long, g long, _doc long, _t int, start long"), f"{name}-compared")
+    windows = told.where("not late").drop("late")
     least = windows.groupBy("h", "g").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")).where("first < last")
-    late = windows.join(least, ["h", "g"]).where("_doc > first")
-    place = ["_doc", "_t", "start", F.lit(1).cast("long").alias("count")]
-    return late.select(*place).unionByName(windows.where("again").select(*place)) if within_rows else late.select(*place)
+    least = written(least.select("h", "g", "first"), f"{name}-least")
+    small = least.count() <= BROADCAST_RUNS
+    rest = windows.join(F.broadcast(least) if small else least, ["h", "g"]).where("_doc > first")
+    late = told.where("late").select("_doc", "_t", "start", F.col("h").alias("count"))
+    late = late.unionByName(rest.select("_doc", "_t", "start", F.lit(1).cast("long").alias("count")))
+    if not within_rows:
+        return late
+    again = every.where(F.col("seed").isNull()).select("_doc", "_t", "start", F.col("h")[0].alias("count"))
+    return late.unionByName(again)
 
 
 def by_document(runs: DataFrame) -> DataFrame:
     """Runs of windows as two lists for each document: their starts and counts, in the same order."""
-    pairs = runs.groupBy("_doc", "_t").agg(F.collect_list(F.struct("start", "count")).alias("r"))
+    pairs = runs.groupBy("_doc", "_t").agg(F.collect_set(F.struct("start", "count")).alias("r"))
     return pairs.select("_doc", "_t", F.col("r.start").alias("starts"), F.col("r.count").alias("counts"))
 
 

@@ -50,7 +50,7 @@ def without_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
 
 def _repeated(base: DataFrame, window: int) -> DataFrame:
     found = find(base, word_symbols, window, (window + 1) // 2, within_rows=False, name="seeds")
-    return found.lost.unionByName(late_windows(found.docs, found.open, word_symbols, window, within_rows=False))
+    return found.lost.unionByName(late_windows(found.docs, found.open, word_symbols, window, within_rows=False, name="word"))
 
 
 def _kept(base: DataFrame, runs: DataFrame, window: int) -> DataFrame:

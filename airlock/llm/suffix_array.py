@@ -115,21 +115,35 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return _induce(t, smaller, leftmost, heads, tails)
 
 
-def permuted_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+def permuted_prefixes(t: np.ndarray, order: np.ndarray, most: int, least: int = 0) -> np.ndarray:
     """For the suffix at each place of `order`, how long a prefix it shares with the one before it in
-    order, `most` at most; computed in the order of the text, by halving steps over prefix hashes."""
+    order, `most` at most; computed in the order of the text, by halving steps over prefix hashes.
+    Lengths under `least` are given as 0, without the steps that would tell them apart."""
     before = np.full(t.size, -1, np.int64)
     before[order[1:]] = order[:-1]
     here = np.flatnonzero(before >= 0)
     there = before[here]
     sums = prefix(t.astype(np.uint64) + np.uint64(0x7F4A))
+
+    def equal(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+        return span_hash(sums, a, a + n) == span_hash(sums, b, b + n)
+
     shared = np.zeros(here.size, np.int64)
+    if least:
+        enough = np.flatnonzero(np.maximum(here, there) + least <= t.size)
+        enough = enough[equal(here[enough], there[enough], least)]
+        shared[enough] = least
+        if least == most:
+            out = np.zeros(t.size, np.int64)
+            out[here] = shared
+            return out[order]
+    else:
+        enough = np.arange(here.size)
     step = 1 << (most.bit_length() - 1)
     while step:
-        try_to = shared + step
-        fits = (np.maximum(here, there) + try_to <= t.size) & (try_to <= most)
-        a, b, n = here[fits] + shared[fits], there[fits] + shared[fits], step
-        fits[fits] = span_hash(sums, a, a + n) == span_hash(sums, b, b + n)
+        try_to = shared[enough] + step
+        fits = enough[(np.maximum(here, there)[enough] + try_to <= t.size) & (try_to <= most)]
+        fits = fits[equal(here[fits] + shared[fits], there[fits] + shared[fits], step)]
         shared[fits] += step
         step //= 2
     out = np.zeros(t.size, np.int64)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airlock.llm.flat import flat, ranges
-from airlock.llm.repeats import by_document, byte_symbols, covered, find, keyed, late_windows, lists
+from airlock.llm.repeats import by_document, byte_symbols, covered, find, keyed, late_windows, lists, with_runs
 from airlock.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH = 100
@@ -49,9 +49,7 @@ def _stretches(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
                 pick = pa.array(who)
                 yield pa.record_batch([pa.array(seeds[k : k + 4096]), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(start), pa.array(count), data], ["seed", "_doc", "_t", "start", "count", "data"])
 
-    grouped = runs.groupBy("_doc", "_t").agg(F.collect_list(F.struct("start", "count", "seed")).alias("r"))
-    named = grouped.select("_doc", "_t", F.col("r.start").alias("starts"), F.col("r.count").alias("counts"), F.col("r.seed").alias("seeds"))
-    joined = docs.join(named, ["_doc", "_t"]).select("_doc", "_t", "_text", "starts", "counts", "seeds")
+    joined = with_runs(docs, runs)
     return joined.mapInArrow(run, f"seed long, {_PLACE}, data binary")
 
 
@@ -63,7 +61,7 @@ def _shard(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np.ndarra
     t[ranges(begin, size)] = raw.astype(np.int32) + 2
     t[-1] = 0
     order = suffix_array(t)
-    shared = permuted_prefixes(t, order, length)
+    shared = permuted_prefixes(t, order, length, least=length)
     whole = np.zeros(t.size, bool)
     whole[ranges(begin, count)] = True
     use = np.flatnonzero(whole[order])
@@ -125,7 +123,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     base = keyed(docs, id_col, text_col)
     found = find(base, byte_symbols, length, SEED, within_rows=True, name="byte-seeds")
     few = _sorted_shards(_stretches(found.docs, found.open.where(F.col("n_texts") <= SHARD_TEXTS), length), length)
-    many = late_windows(found.docs, found.open.where(F.col("n_texts") > SHARD_TEXTS), byte_symbols, length, within_rows=True)
+    many = late_windows(found.docs, found.open.where(F.col("n_texts") > SHARD_TEXTS), byte_symbols, length, within_rows=True, name="byte")
     known = drop_bytes(found.docs, found.lost.unionByName(few).unionByName(many), length)
     rest = drop_bytes(base.where(F.col("_doc").isNull()), None, length)
     return known.unionByName(rest).withColumnRenamed("_doc", id_col)
