@@ -13,7 +13,7 @@ from airlock.llm.decontamination import without_leaks
 from airlock.llm.language_id import UNDETERMINED, held_out, identify, train
 from airlock.llm.ngram_join import NgramJoin
 from airlock.llm.packing import pack
-from airlock.llm.store import written
+from airlock.llm.store import discard, written
 from airlock.llm.substring_dedup import without_passages
 
 
@@ -60,9 +60,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, source = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if source is not None:
+            discard(source)
+        source = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
