@@ -1,6 +1,6 @@
 """Numpy views of Arrow text columns, shared by the corpus operators.
 
-A batch of texts is handled as one run of UTF-8 bytes plus offsets, cut into pieces of about a
+A batch of texts is handled as one run of UTF-8 bytes plus offsets, cut into pieces of about half a
 megabyte so that the work arrays of a task stay small however many rows a batch has. A single
 text is never cut: a piece holds at least one whole text.
 """
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 #: Words are runs of bytes other than these: space, tab, line feed, vertical tab, form feed, return.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -82,7 +82,7 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """base ** 0..n and their inverses, modulo 2 ** 64."""
     up, down = _powers.get(base, (np.zeros(0, np.uint64),) * 2)
     if up.size <= n:
-        size = max(n + 1, 2 * PIECE_BYTES)
+        size = max(n + n // 8 + 1, PIECE_BYTES // 2)
         made = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)

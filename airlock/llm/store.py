@@ -17,6 +17,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Rows that a Python worker gets at once. Texts are long: the default of 10,000 rows would hold tens
+#: of megabytes several times over on both sides.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and read back from Parquet: later steps don't repeat its work, and a lost
     executor costs only a read."""

@@ -13,13 +13,14 @@ from airlock.llm.decontamination import without_leaks
 from airlock.llm.language_id import UNDETERMINED, held_out, identify, train
 from airlock.llm.ngram_join import NgramJoin
 from airlock.llm.packing import pack
-from airlock.llm.store import discard, written
+from airlock.llm.store import discard, small_batches, written
 from airlock.llm.substring_dedup import without_passages
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: null texts and texts without a letter go. A null lang
     is filled with the prediction. Short and mixed texts, whose language is only ambiguous, stay."""
+    small_batches(spark)
     letters = docs.where(F.col("text").rlike(r"\p{L}"))
     model = train(letters, ~held_out())
     if model is None:
@@ -30,22 +31,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that five-word shingles connect at a similarity of 0.8, the one with the smallest id."""
+    small_batches(spark)
     return NgramJoin(docs, n=5, percent=80).first_of_each()
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words that a document with a smaller id has; n_chars follows."""
+    small_batches(spark)
     kept = without_passages(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in kept.columns else kept
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of 2048 ids."""
+    small_batches(spark)
     return pack(docs)
 
 
