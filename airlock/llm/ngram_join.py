@@ -7,9 +7,10 @@ flips one bit, so the number of bits in which two bitmaps differ is at most the
 that are in one set alone, which bounds the overlap from above. What is left is compared exactly,
 by the sorted arrays of shingles.
 
-Equal sets are one node. Every tile first links its sets to its least one; only pairs that are not
-in one component after that are compared in a second step, so a large group of near copies costs
-a few links for each of its sets and not all of its pairs.
+Equal sets are one node. Every tile first links its sets to its least one; pairs that are not in
+one component after that are compared in a second step. These links give the components. The number
+of links counts all similar pairs: those inside a component of the first step are compared in blocks
+of bounded size, each pair in one block, by multiplying the incidence matrices of their shingles.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ SLOT_BITS = 16
 BROADCAST_IDS = 1 << 20
 #: Bytes of bitmaps that are broadcast to the pairs they belong to; more are joined by a shuffle.
 BROADCAST_BYTES = 48 << 20
+#: Sets and shingles of a block of a component, about: two blocks at a time are compared by one group.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 19
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int, fold_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +100,22 @@ def _names(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return mix(_sums(mix(h.copy()), edges) + np.diff(edges).astype(np.uint64)).view(np.int64)
 
 
+def _common(h: np.ndarray, edges: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How many shingles each of the sets p shares with each of the sets q; edges are the sets' offsets in h."""
+    row = np.repeat(np.arange(edges.size - 1), np.diff(edges))
+    _, at, count = np.unique(h, return_inverse=True, return_counts=True)
+    column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[at]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    out, wide = np.zeros((p.size, q.size), np.int64), max(1, (1 << 21) // max(edges.size, 1))
+    for c in range(0, int(column[-1]) + 1 if column.size else 0, wide):
+        i, j = np.searchsorted(column, (c, c + wide))
+        has = np.zeros((edges.size - 1, min(wide, int(column[-1]) + 1 - c)), np.float32)
+        has[row[i:j], column[i:j] - c] = 1
+        out += (has[p] @ has[q].T).astype(np.int64)
+    return out
+
+
 class NgramJoin:
     """Similarity join of `docs` on sets of `n` consecutive words, in whole numbers: two sets link
     if 100 * intersection >= percent * union."""
@@ -211,6 +230,40 @@ class NgramJoin:
         discard(made)
         return found
 
+    def _linked_within(self, label: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+        """All pairs (x, y) of similar sets among the nodes of each label that has three or more."""
+        percent = self.percent
+        members = label.join(nodes.groupBy("node").agg(F.sum("size").alias("size")), "node")
+        large = members.groupBy("label").agg(F.count("*").alias("k"), F.sum("size").alias("size")).where("k > 2")
+        blocks = F.ceil(F.greatest(F.col("k") / BLOCK_SETS, F.col("size") / BLOCK_SHINGLES)).cast("int")
+        large = written(large.select("label", blocks.alias("blocks")), f"{name}-labels")
+        placed = label.join(F.broadcast(large) if large.count() <= BROADCAST_IDS else large, "label")
+        placed = written(placed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), f"{name}-placed")
+        made = self._arrays(placed.select("node"), f"{name}-arrays")
+        arrays = made.join(nodes.select("node", "a"), ["node", "a"], "left_semi")
+        if not made.groupBy("node", "a").count().where("count > 1").isEmpty():
+            arrays = arrays.dropDuplicates(["node", "a"])
+        few = placed.count() <= BROADCAST_IDS
+        spread = arrays.join(F.broadcast(placed) if few else placed, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        spread = spread.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
+
+        def run(group: pa.Table) -> pa.Table:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
+            h, edges = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+            node, block = (group.column(c).to_numpy() for c in ("node", "block"))
+            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+            p, q = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            common, size = _common(h, edges, p, q), np.diff(edges)
+            s, t = np.nonzero(100 * common >= percent * (size[p][:, None] + size[q][None, :] - common))
+            ends = np.sort(np.stack([node[p[s]], node[q[t]]], axis=1), axis=1)
+            ends = np.unique(ends[ends[:, 0] < ends[:, 1]], axis=0)
+            return pa.table([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["x", "y"])
+
+        found = written(spread.groupBy("label", "i", "j").applyInArrow(run, "x long, y long"), name)
+        for done in (made, placed, large):
+            discard(done)
+        return found
+
     def _similar_size(self, s: str, t: str) -> Column:
         small, large = F.least(s, t), F.greatest(s, t)
         return small * 100 >= large * self.percent
@@ -229,12 +282,12 @@ class NgramJoin:
         """(id_col, n_shingles, n_links, component_id) of every row.
 
         component_id is the least id that links reach, through any number of rows; n_links counts
-        the links that were needed to join the row's set to others, copies not included. Rows
+        all other sets that the row's set is similar to, copies of one set as one. Rows
         without words have no shingles and stand alone, also among themselves; copies with at least
         one shingle are linked. A null id takes no part, and has itself as its component. Rows that
         share an id are one document: what one of them links to, all do.
         """
-        return self._components().drop("t").withColumnRenamed("_doc", self.id_col)
+        return self._components(count_links=True).drop("t").withColumnRenamed("_doc", self.id_col)
 
     def first_of_each(self) -> DataFrame:
         """The source's rows with all their columns, without those that links connect to a smaller
@@ -249,13 +302,20 @@ class NgramJoin:
             kept = kept.dropDuplicates(["_airlock_doc", "_airlock_t"])
         return kept.select(*self.source.columns)
 
-    def _components(self) -> DataFrame:
+    def _components(self, count_links: bool = False) -> DataFrame:
         sets = written(self.sets(), "sets")
         nodes = written(sets.where((F.col("size") > 0) & F.col("_doc").isNotNull()).groupBy("a", "b").agg(F.min("_doc").alias("node"), F.min("size").alias("size")), "nodes")
-        links = self._links(sets, nodes)
-        label = least_reachable(links, "component")
-        degree = links.select(F.col("x").alias("node")).union(links.select("y")).groupBy("node").agg(F.count("*").alias("n_links"))
-        known = nodes.select("a", "b", "node").join(label, "node", "left").join(degree, "node", "left")
+        stars, rest, star_label = self._links(sets, nodes)
+        label = least_reachable(stars.unionByName(rest), "component")
+        known = nodes.select("a", "b", "node").join(label, "node", "left")
+        if count_links:
+            # Of a label with two nodes the star's link is the only one.
+            pairs = star_label.groupBy("label").count().where("count = 2").select(F.col("label").alias("x"))
+            links = self._linked_within(star_label, nodes, "links").unionByName(rest).unionByName(stars.join(pairs, "x", "left_semi"))
+            degree = links.select(F.col("x").alias("node")).union(links.select("y")).groupBy("node").agg(F.count("*").alias("n_links"))
+            known = known.join(degree, "node", "left")
+        else:
+            known = known.withColumn("n_links", F.lit(None).cast("long"))
         per_set = known.select("a", "b", F.coalesce("label", "node").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
         keyed = sets.select("_doc", "t", F.col("size").alias("n_shingles"), *(F.when((F.col("size") > 0) & F.col("_doc").isNotNull(), F.col(c)).alias(c) for c in ("a", "b")))
         lone, rest = keyed.where(F.col("a").isNull()), keyed.where(F.col("a").isNotNull())
@@ -263,7 +323,9 @@ class NgramJoin:
         alone = lone.select("_doc", "t", "n_shingles", F.lit(0).cast("long").alias("n_links"), F.col("_doc").alias("component_id"))
         return found.unionByName(alone)
 
-    def _links(self, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    def _links(self, sets: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Links (x, y) of tiles' sets to their least ones, all links between the components of these,
+        and these components as (node, label)."""
         postings = self._postings()
         shared = postings.groupBy("token").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("token")
         step = -math.log(self.percent / 100)
@@ -294,9 +356,7 @@ class NgramJoin:
         rest = self._possible(rest, maps, "rest")
         for done in (named, tiles, maps, tried):
             discard(done)
-        if rest.isEmpty():
-            return links
-        return links.unionByName(self._linked(rest, nodes, "rest-links"))
+        return links, rest if rest.isEmpty() else self._linked(rest, nodes, "rest-links"), label
 
 
 def least_reachable(links: DataFrame, name: str) -> DataFrame:
