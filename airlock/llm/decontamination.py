@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airlock.llm.flat import flat, mix, pieces, powers, prefix, ranges, span_hash, word_hashes, words
@@ -41,6 +41,11 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def _plain(text_col: str) -> Column:
+    """The text in lower case, with spaces for signs beyond ASCII; letters keep their marks."""
+    return F.regexp_replace(F.lower(text_col), r"[^\p{L}\p{M}\p{N}\x00-\x7F]", " ")
+
+
 def _words_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words (letters and digits; other ASCII signs count as spaces), and each row's first."""
     data = np.where(_WORD[buf], buf, np.uint8(32))
@@ -132,7 +137,7 @@ class Index:
 
 
 def index_of(ids: list, texts: list[str]) -> Index:
-    """An index of lower-case benchmark texts; those without a word are left out."""
+    """An index of benchmark texts as _plain gives them; those without a word are left out."""
     symbols, first = _words_of(*flat(pa.array(texts, pa.string())))
     sums = prefix(symbols)
     n = np.diff(first)
@@ -198,7 +203,7 @@ def search(index: Index, buf: np.ndarray, offs: np.ndarray, threshold: float) ->
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> list[Index]:
     chars = benchmark.agg(F.sum(F.length(text_col))).first()[0] or 0
     slices = max(1, -(-chars // SLICE_CHARS))
-    named = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("i"), F.lower(text_col).alias("t"))
+    named = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("i"), _plain(text_col).alias("t"))
     out = []
     for k in range(slices):
         part = named.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k).collect()
@@ -227,7 +232,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILAR
                     if row.size:
                         yield pa.record_batch([batch.column(0).take(pa.array(row + i)), pa.array(item), pa.array(start), pa.array(n), pa.array(alike)], ["_id", "item", "start_word", "n_words", "similarity"])
 
-        part = docs.select(F.col(id_col).alias("_id"), F.lower(text_col).alias("_text")).mapInArrow(run, schema)
+        part = docs.select(F.col(id_col).alias("_id"), _plain(text_col).alias("_text")).mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
     return found.withColumnRenamed("_id", id_col)
 
@@ -245,5 +250,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMI
                     keep[search(shared.value, buf, offs, threshold)[0] + i] = False
                 yield batch.filter(pa.array(keep)).select(range(len(columns)))
 
-        docs = docs.select("*", F.lower(text_col).alias("_airlock_lower")).mapInArrow(run, docs.schema)
+        docs = docs.select("*", _plain(text_col).alias("_airlock_lower")).mapInArrow(run, docs.schema)
     return docs
