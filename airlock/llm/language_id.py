@@ -13,15 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlock.llm.flat import flat, lowered, pieces
 
 FEATURES = 4096
 ORDERS = (2, 3, 4)
-#: Rows that a model is fitted on at most: those whose ids hash lowest.
-TRAIN_ROWS = 4000
+#: Rows that a model is fitted on at most, shared evenly by the languages, and how many of them a
+#: language gets at least if there are very many: of each language those whose ids hash lowest.
+TRAIN_ROWS, LEAST_ROWS = 4000, 50
 #: A lead in probability under this is ambiguous.
 CLEAR_LEAD = 0.2
 UNDETERMINED = "und"
@@ -113,13 +114,24 @@ def fit(x: np.ndarray, names: list[str], rounds: int = 120) -> CodeModel:
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> CodeModel | None:
     """A model of the labelled rows that `usable` admits; None if there are none.
 
-    At most `rows` documents are used, those whose ids hash lowest. Their n-gram counts are made by
-    the executors; only these come to the driver.
+    Of each language at most `rows` divided by the number of languages are used (LEAST_ROWS if that
+    is more), those whose ids hash lowest, of one id those whose texts do; equal rows count once.
+    Their n-gram counts are made by the executors; only these come to the driver.
     """
     known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    chosen = known.select(F.xxhash64(id_col).alias("_order")).orderBy("_order").limit(rows).agg(F.max("_order"), F.count("*")).first()
-    if not chosen[1]:
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.struct(F.xxhash64(id_col).alias("i"), F.xxhash64(text_col).alias("t")).alias("_order"), F.col(text_col).alias("_text"))
+    languages = known.select("lang").distinct().count()
+    if not languages:
         return None
+    each = max(LEAST_ROWS, rows // languages)
+    # In parts first, so that no task gets all rows of a common language.
+    part = F.pmod("_order.t", F.lit(64))
+    keys = known.select("lang", "_order").distinct()
+    for within in (["lang", part], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*within).orderBy("_order"))
+        keys = keys.withColumn("_rank", rank).where(F.col("_rank") <= each).drop("_rank")
+    cuts = keys.groupBy("lang").agg(F.max("_order").alias("_cut")).collect()  # a row for each language
+    cuts = docs.sparkSession.createDataFrame(cuts, "lang string, _cut struct<i: long, t: long>")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,8 +141,8 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
                 x = ngram_counts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    bounded = known.where(F.xxhash64(id_col) <= chosen[0]).select(F.col(lang_col).cast("string"), F.col(text_col))
-    got = bounded.mapInArrow(features, "lang string, x binary").limit(2 * rows).toPandas()
+    bounded = known.join(F.broadcast(cuts), "lang").where(F.col("_order") <= F.col("_cut")).dropDuplicates(["lang", "_order"])
+    got = bounded.select("lang", "_text").mapInArrow(features, "lang string, x binary").toPandas()
     x = np.frombuffer(b"".join(got["x"]), "<f2").reshape(len(got), FEATURES).astype(np.float32)
     order = np.lexsort((x[:, 0], x.sum(1), got["lang"].to_numpy(str)))  # whatever order the rows came in
     return fit(x[order], got["lang"].to_numpy(str)[order].tolist())
