@@ -1,10 +1,11 @@
 """Toxicity scores from subword-bag embeddings and a linear softmax, trained jointly in numpy.
 
-A word's vector is the average of the embeddings of its character n-grams, so a misspelling that
-the model has never seen shares most of its vector with the word it comes from. A two-class softmax
-over that vector gives the chance that the word makes a text toxic, and a text is as toxic as the
-chance that at least one of its words does so. Embeddings and softmax are fitted together to the
-labels of whole texts; in every round half of the words are replaced by a misspelt form.
+A text is the bag of the character n-grams of all its words. Its vector is the average of their
+embeddings, and a linear softmax over that vector gives the chances of the two classes, so a
+misspelling that the model has never seen counts by the n-grams that it shares with the word it
+comes from. Embeddings and softmax are fitted together to the labels of whole texts; in every round
+half of the words are replaced by a misspelt form. As a text is one average, more text of the same
+kind does not move its score, however long it gets.
 """
 
 from __future__ import annotations
@@ -20,14 +21,31 @@ from pyspark.sql import functions as F
 from airlock.llm.flat import SPACES, flat, lowered, pieces, ranges, word_hashes, words
 
 ORDERS = (3, 4, 5, 6)
-BUCKET_BITS = 16
-DIMENSIONS = 8
-#: A model is fitted on at most this many rows of each label, those whose ids hash lowest, and
-#: only on texts up to this many characters. Scoring has no such bounds.
+BUCKET_BITS = 19
+DIMENSIONS = 4
+#: A model is fitted on at most this many rows of each label, those whose ids hash lowest, of texts
+#: up to this many characters. Scoring has no such bounds.
 TRAIN_ROWS = {1: 800, 0: 1400}
 TRAIN_CHARS = 200_000
 THRESHOLD = 0.7
-_PRIOR = -9.0
+#: What an average is multiplied by before the softmax: one word in a hundred must be able to decide.
+_GAIN = 100.0
+#: Gradients well under this move a value in proportion to their size, not by a full step: an n-gram
+#: that few texts have stays near zero.
+_STEADY = 1e-3
+#: The difference of the biases at the start: a text of unseen n-grams alone is not toxic.
+_PRIOR = -4.0
+#: Clean texts are also learnt in cuts of fewer words than this.
+_CUT_WORDS = 40
+#: N-grams in fewer texts than this are not learnt.
+_LEAST_TEXTS = 25
+#: Share of the toxic texts in the loss; the rest is for whole clean texts and cuts, half each.
+_TOXIC_WEIGHT = 0.5
+#: Added to the fitted bias: toxic texts that the model has not seen lie nearer to the boundary than
+#: those that it was fitted on, clean ones don't.
+_SHIFT = 1.0
+#: How strongly embeddings are drawn to zero.
+_DECAY = 1e-6
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -72,7 +90,8 @@ def bags(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndar
 
 @dataclass
 class ToxicModel:
-    """Embeddings times the softmax's difference of classes: one number for each n-gram bucket."""
+    """Embeddings times the softmax's weights, as the difference of the two classes: one number for
+    each n-gram bucket, and one for the biases."""
 
     bucket: np.ndarray
     bias: float
@@ -80,14 +99,15 @@ class ToxicModel:
     def scores(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         data = bare(buf)
         starts, ends, first = words(data, offs)
-        if not starts.size:
-            return np.zeros(len(offs) - 1)
-        _, where, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        grams, owners = bags(data, starts[where], ends[where])
-        total = np.bincount(owners, self.bucket[grams], where.size)
-        logit = total / np.maximum(np.bincount(owners, minlength=where.size), 1) + self.bias
-        sums = np.concatenate([[0.0], np.cumsum(np.logaddexp(0, logit)[back])])
-        return -np.expm1(-np.maximum(np.diff(sums[first]), 0))
+        total, count = np.zeros(starts.size + 1), np.zeros(starts.size + 1)
+        if starts.size:
+            _, where, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+            grams, owners = bags(data, starts[where], ends[where])
+            np.cumsum(np.bincount(owners, self.bucket[grams], where.size)[back], out=total[1:])
+            np.cumsum(np.bincount(owners, minlength=where.size)[back], out=count[1:])
+        bag = np.maximum(np.diff(count[first]), 1)
+        logit = _GAIN * np.diff(total[first]) / bag + self.bias
+        return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
 def misspelt(word: bytes, rng: np.random.Generator) -> bytes:
@@ -98,58 +118,80 @@ def misspelt(word: bytes, rng: np.random.Generator) -> bytes:
     return word[: i + 1] + word[i:] if kind == 1 else word[:i] + word[i + 1 :] or word
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 70, rate: float = 0.05, seed: int = 1) -> ToxicModel:
+def fit(texts: list[str], toxic: np.ndarray, rounds: int = 100, rate: float = 0.03, seed: int = 1) -> ToxicModel:
+    """Full-batch steps with momentum estimates; both labels weigh the same. A bucket that no text
+    uses keeps the zero vector, so unseen n-grams only dilute a text."""
     buf, offs = flat(pa.array(texts, pa.string()))
     data = bare(buf)
     starts, ends, first = words(data, offs)
     rng = np.random.default_rng(seed)
     _, where, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    n, back = where.size, back.astype(np.int32)
+    n = where.size
     raw = data.tobytes()
     wrong = [misspelt(raw[a:b], rng) for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
     edges = np.concatenate([[0], np.cumsum([len(w) for w in wrong])])
     forms = bags(data, starts[where], ends[where]), bags(np.frombuffer(b"".join(wrong), np.uint8), edges[:-1], edges[1:])
-    docs = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first))
-    share = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    weight = np.where(toxic == 1, 0.5 / share[0], 0.5 / share[1])
-    table = rng.normal(0, 0.3, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32)
-    soft = rng.normal(0, 0.3, DIMENSIONS).astype(np.float32)
-    bias = np.array(_PRIOR)
+    # Texts, and after them the texts that are not toxic once more, cut into short ones: a few clean
+    # words must not look toxic either.
+    owner = np.repeat(np.arange(len(texts)), np.diff(first))
+    clean = np.flatnonzero(toxic[owner] == 0)
+    cuts = np.cumsum(rng.integers(1, _CUT_WORDS, clean.size + 1)) if clean.size else np.zeros(1, np.int64)
+    bit = np.searchsorted(cuts, np.arange(clean.size), side="right") + np.cumsum(np.diff(owner[clean], prepend=owner[clean][:1]) != 0) if clean.size else clean
+    owner, word = np.concatenate([owner, len(texts) + bit]), np.concatenate([back, back[clean]])
+    rows = int(owner.max(initial=len(texts) - 1)) + 1
+    target = np.concatenate([toxic, np.zeros(rows - len(texts), toxic.dtype)])
+    # Each different word of each of them, with how often it stands there.
+    pairs, times = np.unique(owner * max(n, 1) + word, return_counts=True)
+    docs, word = (pairs // max(n, 1)).astype(np.int32), (pairs % max(n, 1)).astype(np.int32)
+    weight = np.full(rows, (1 - _TOXIC_WEIGHT) / 2 / max(1, rows - len(texts)))
+    weight[: len(texts)] = np.where(toxic == 1, _TOXIC_WEIGHT / max(1, int(toxic.sum())), (1 - _TOXIC_WEIGHT) / 2 / max(1, int((1 - toxic).sum())))
+    table = np.zeros((1 << BUCKET_BITS, DIMENSIONS), np.float32)
+    soft = rng.normal(0, 1, (DIMENSIONS, 2)).astype(np.float32)
+    bias = np.array([-_PRIOR / 2, _PRIOR / 2])
+    # N-grams that hardly any text has tell nothing: their buckets stay zero.
+    seen = np.bincount(forms[0][0], np.bincount(word[docs < len(texts)], minlength=n)[forms[0][1]], 1 << BUCKET_BITS) >= _LEAST_TEXTS
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, soft, bias)]
     for t in range(1, rounds + 1):
         other = rng.random(n) < 0.5
         grams = np.concatenate([forms[k][0][other[forms[k][1]] == k] for k in (0, 1)])
         owners = np.concatenate([forms[k][1][other[forms[k][1]] == k] for k in (0, 1)])
-        count = np.maximum(np.bincount(owners, minlength=n), 1)
-        logit = np.bincount(owners, (table @ soft)[grams], n) / count + bias
-        per_word = logit[back]
-        p = -np.expm1(-np.bincount(docs, np.logaddexp(0, per_word), len(texts)))
-        slope = weight * np.where(toxic == 1, -(1 - p) / np.maximum(p, 1e-6), 1.0)
-        d = slope[docs] / (1 + np.exp(-np.clip(per_word, -30, 30)))
-        by_word = np.bincount(back, d, n) / count
-        by_gram = np.bincount(grams, by_word[owners], 1 << BUCKET_BITS).astype(np.float32)
-        grads = (by_gram[:, None] * soft + 1e-7 * table, table.T @ by_gram, d.sum())
+        sizes = np.bincount(owners, minlength=n)
+        bag = np.maximum(np.bincount(docs, times * sizes[word], rows), 1)
+        part = times * _GAIN / bag[docs]
+        # Of two classes one's chance is the other's complement, so the logits' difference is enough.
+        of_word = np.bincount(owners, (table @ (soft[:, 1] - soft[:, 0]))[grams], n)
+        logit = np.bincount(docs, part * of_word[word], rows) + bias[1] - bias[0]
+        slope = weight * (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - target)
+        by_gram = np.bincount(grams, np.bincount(word, part * slope[docs], n)[owners], 1 << BUCKET_BITS).astype(np.float32)
+        by_gram = np.stack([-by_gram, by_gram], axis=1) * seen[:, None]
+        grads = (by_gram @ soft.T + _DECAY * table, table.T @ by_gram, np.array([-slope.sum(), slope.sum()]))
         for value, grad, (m, v) in zip((table, soft, bias), grads, moments, strict=True):
             m *= 0.9
             m += 0.1 * grad
             v *= 0.99
             v += 0.01 * grad * grad
-            value -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    return ToxicModel((table @ soft).astype(np.float32), float(bias))
+            value -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + _STEADY)
+    both = table @ soft
+    return ToxicModel(both[:, 1] - both[:, 0], float(bias[1] - bias[0]) + _SHIFT)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: dict[int, int] | None = None) -> ToxicModel | None:
     """A model from the labels (1 toxic, 0 not) that `usable` admits; None unless both labels occur.
 
-    Takes at most TRAIN_ROWS rows of each label: these and no others come to the driver.
+    Takes at most TRAIN_ROWS rows of each label, those whose ids hash lowest among the ids with a
+    text of at most TRAIN_CHARS characters; no others come to the driver. Of rows that share an id
+    the least such text counts, and the greatest label. A null text is no text; labels other than 0
+    and 1 are not used.
     """
-    known = labels.where(usable & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("_label"))
+    short = docs.where(F.length(text_col) <= TRAIN_CHARS).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    known = labels.where(usable & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
+    known = known.join(short.select("_id"), "_id", "left_semi")
     sample = None
     for label, most in (rows or TRAIN_ROWS).items():
-        part = known.where(F.col("_label") == label).orderBy(F.xxhash64(id_col), id_col).limit(most)
+        part = known.where(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_id").limit(most)
         sample = part if sample is None else sample.union(part)
-    texts = docs.select(id_col, F.col(text_col).alias("_text")).where(F.length("_text") <= TRAIN_CHARS)
-    got = texts.join(F.broadcast(sample), id_col).select(id_col, "_text", "_label").toPandas().sort_values([id_col, "_text", "_label"])
+    texts = short.join(F.broadcast(sample), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    got = texts.toPandas().sort_values("_id")
     if got["_label"].nunique() < 2:
         return None
     return fit(got["_text"].tolist(), got["_label"].to_numpy())
@@ -158,7 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
 def score(docs: DataFrame, model: ToxicModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score) of every row: the chance that its text is toxic, 0 to 1.
 
-    Whole texts are read. A null or empty text scores 0, as does everything if there is no model.
+    Whole texts are read. A null or empty text scores what the bias alone gives; everything scores
+    0 if there is no model.
     Repeated rows score alike; other columns are not read, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
