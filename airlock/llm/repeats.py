@@ -1,11 +1,12 @@
 """Where windows of a fixed length repeat across a corpus, without comparing every window.
 
-Used by the two substring operators: one counts windows in words, the other in bytes. Every window
-is named by its rarest-looking part: of all shorter windows ("seeds") inside it, the one with the
-least hash. Equal windows have equal seeds at equal places, and neighbouring windows mostly share
-theirs, so windows come in short runs, one row for each run. A run's windows can only repeat where
-its seed repeats; where all runs of a seed are the same text, the first keeps its windows and the
-others lose theirs. Only the rest has to be compared window by window.
+Used by the two substring operators: one counts windows in words, the other in bytes. Windows are
+judged by levels of shorter windows ("seeds"). On each level a window is named by the seed inside
+it that has the least hash; equal windows have equal seeds at equal places, and neighbouring windows
+mostly share theirs, so windows come in short runs, one row for each run. A window can only repeat
+where its seed does, so a level looks at nothing but the windows that all levels before left, and
+the search ends where a level leaves none. Where all runs of a seed are the same text, the first
+keeps its windows and the others lose theirs. Only the rest has to be compared window by window.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from airlock.llm.flat import flat, mix, pieces, powers, prefix, ranges, span_has
 from airlock.llm.store import discard, written
 
 #: A run's row keeps its number of windows in the low bits of the text's hash.
-_RUN_BITS = 7
+_RUN_BITS = 12
 #: A filter of repeated seeds has about 8 bits for each, and at most 2 ** 28 (32 MB). It only spares
 #: rows a shuffle; when it is too full to tell seeds apart, the join alone decides.
 _FILTER_BITS = 28
@@ -61,23 +62,37 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def runs_of(symbols: np.ndarray, first: np.ndarray, window: int, seed: int) -> Runs:
+def _windows(symbols: np.ndarray, first: np.ndarray, window: int, level: int, filters: list) -> Runs:
+    """Runs of the level's seeds, of windows whose seeds of all levels before are in their filters
+    (and those of this one, if it has a filter already)."""
     none = np.zeros(0, np.int64)
     start, row = window_starts(first, window)
-    if not start.size:
-        return Runs(none, none, none, none, none)
-    sums = prefix(symbols)
-    h = (sums[seed:] - sums[:-seed]) * powers(symbols.size)[1][: symbols.size - seed + 1]
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    least = _least(h, window - seed + 1)[start]
-    new = np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:] != row[:-1])])
-    i = np.flatnonzero(new)
-    count = np.diff(np.append(i, start.size))
-    text = span_hash(sums, start[i], start[i] + count - 1 + window)
-    text = mix(text + count.astype(np.uint64)) >> np.uint64(_RUN_BITS) << np.uint64(_RUN_BITS) | count.astype(np.uint64)
-    return Runs(row[i], start[i] - first[row[i]], count, h[least[i]].view(np.int64), text.view(np.int64))
+    sums = prefix(symbols) if start.size else none
+    for depth, (seed, held) in enumerate(filters):
+        if not start.size:
+            break
+        h = (sums[seed:] - sums[:-seed]) * powers(symbols.size)[1][: symbols.size - seed + 1]
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        least = _least(h, window - seed + 1)[start]
+        new = np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])
+        i = np.flatnonzero(new)
+        count = np.diff(np.append(i, start.size))
+        name = h[least[i]]
+        if held is not None:
+            table, bits = held.value
+            at = name & np.uint64((1 << bits) - 1)
+            maybe = (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            if depth < level:
+                stay = np.repeat(maybe, count)
+                start, row = start[stay], row[stay]
+                continue
+            i, count, name = i[maybe], count[maybe], name[maybe]
+        text = span_hash(sums, start[i], start[i] + count - 1 + window)
+        text = mix(text + count.astype(np.uint64)) >> np.uint64(_RUN_BITS) << np.uint64(_RUN_BITS) | count.astype(np.uint64)
+        return Runs(row[i], start[i] - first[row[i]], count, name.view(np.int64), text.view(np.int64))
+    return Runs(none, none, none, none, none)
 
 
 @dataclass(frozen=True)
@@ -114,23 +129,21 @@ def _filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
     return out, bits
 
 
-def find(docs: DataFrame, symbols: Callable, window: int, seed: int, within_rows: bool, name: str) -> Repeats:
-    """Runs that repeat in other rows, and with `within_rows` in the row itself."""
-    if not 0 < window - seed + 1 < 1 << _RUN_BITS:
-        raise ValueError("the seed must be shorter than the window by less than 127")
+def find(docs: DataFrame, symbols: Callable, window: int, levels: tuple[int, ...], within_rows: bool, name: str) -> Repeats:
+    """Runs that repeat in other rows, and with `within_rows` in the row itself; the levels are the
+    lengths of the seeds, each longer than the one before."""
+    if not levels or min(levels) < 1 or window < max(levels) or window - min(levels) >= (1 << _RUN_BITS) - 1:
+        raise ValueError(f"seeds must be no longer than the window and shorter by less than {1 << _RUN_BITS}")
 
-    def emit(full: bool) -> Callable:
+    def emit(filters: list, full: bool) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
                 for i, _, buf, offs in pieces(*flat(batch.column(2)), limit=1 << 19):
-                    r = runs_of(*symbols(buf, offs), window, seed)
+                    r = _windows(*symbols(buf, offs), window, len(filters) - 1, filters)
                     if not full:
                         yield pa.record_batch([pa.array(r.seed), pa.array(ids[i + r.row])], ["seed", "_doc"])
                         continue
-                    at = r.seed.view(np.uint64) & np.uint64((1 << bits) - 1)
-                    maybe = (filter_words.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-                    r = Runs(*(x[maybe] for x in (r.row, r.start, r.count, r.seed, r.text)))
                     loc = tags[i + r.row].astype(np.int64) << 32 | r.start
                     if within_rows:  # a later run of the same text in one row: marked by the sign
                         by = np.lexsort((r.start, r.text, r.seed, r.row))
@@ -144,17 +157,26 @@ def find(docs: DataFrame, symbols: Callable, window: int, seed: int, within_rows
         return run
 
     slim = docs.where(F.col("_doc").isNotNull()).select("_doc", "_t", "_text")
-    seeds = slim.mapInArrow(emit(False), "seed long, _doc long").groupBy("seed")
-    if within_rows:
-        seeds = seeds.agg(F.count("*").alias("n")).where("n > 1")
-    else:
-        seeds = seeds.agg(F.min("_doc").alias("a"), F.max("_doc").alias("b")).where("a < b")
-    seeds = written(seeds.select("seed"), f"{name}-repeated")
-    packed, bits = _filter(seeds)
-    filter_words = docs.sparkSession.sparkContext.broadcast(packed)
-    rows = slim.mapInArrow(emit(True), "seed long, text long, _doc long, loc long")
+    filters, seeds = [], None
+    for level in levels:
+        found = slim.mapInArrow(emit([*filters, (level, None)], False), "seed long, _doc long").groupBy("seed")
+        if within_rows:
+            found = found.agg(F.count("*").alias("n")).where("n > 1")
+        else:
+            found = found.agg(F.min("_doc").alias("a"), F.max("_doc").alias("b")).where("a < b")
+        if seeds is not None:
+            discard(seeds)
+        seeds = written(found.select("seed"), f"{name}-repeated")
+        if seeds.isEmpty():  # no candidate survives
+            discard(seeds)
+            none = docs.sparkSession.createDataFrame([], "_doc long, _t int, start long, count long, seed long, n_texts long")
+            return Repeats(slim, none.select("_doc", "_t", "start", "count"), none)
+        filters.append((level, docs.sparkSession.sparkContext.broadcast(_filter(seeds))))
+    rows = slim.mapInArrow(emit(filters, True), "seed long, text long, _doc long, loc long")
     hit = written(rows.join(seeds, "seed"), name)
     discard(seeds)
+    for _, held in filters:
+        held.unpersist()
     texts = hit.groupBy("seed", "text").agg(F.min("_doc").alias("first"))
     several = texts.groupBy("seed").agg(F.count("*").alias("n_texts"))
     told = hit.join(texts.join(several, "seed"), ["seed", "text"])
@@ -165,15 +187,15 @@ def find(docs: DataFrame, symbols: Callable, window: int, seed: int, within_rows
     return Repeats(slim, told.where("late").select("_doc", "_t", "start", "count"), told.where("not late").drop("late"))
 
 
-def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """_doc, _t, _text of the documents that have runs, with the runs' starts, counts and seeds."""
-    grouped = runs.groupBy("_doc", "_t").agg(F.collect_set(F.struct("start", "count", "seed")).alias("r"))
-    named = grouped.select("_doc", "_t", F.col("r.start").alias("starts"), F.col("r.count").alias("counts"), F.col("r.seed").alias("seeds"))
+def with_runs(docs: DataFrame, runs: DataFrame, more: str = "seed") -> DataFrame:
+    """_doc, _t, _text of the documents that have runs, with the runs' starts, counts and one more column."""
+    grouped = runs.groupBy("_doc", "_t").agg(F.collect_set(F.struct("start", "count", more)).alias("r"))
+    named = grouped.select("_doc", "_t", F.col("r.start").alias("starts"), F.col("r.count").alias("counts"), F.col(f"r.{more}").alias("more"))
     small = runs.count() <= BROADCAST_RUNS
-    return docs.join(F.broadcast(named) if small else named, ["_doc", "_t"]).select("_doc", "_t", "_text", "starts", "counts", "seeds")
+    return docs.join(F.broadcast(named) if small else named, ["_doc", "_t"]).select("_doc", "_t", "_text", "starts", "counts", "more")
 
 
-def _joined(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def joined(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places in rows as runs of neighbours: row, start and count."""
     by = np.lexsort((place, row))
     row, place = row[by], place[by]
@@ -182,8 +204,7 @@ def _joined(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _window_arrays(docs: DataFrame, runs: DataFrame, symbols: Callable, window: int) -> DataFrame:
-    """Each run with two hashes of every one of its windows. Without a seed, and with its count in
-    place of hashes: runs of windows that the row itself has before."""
+    """Each run with two hashes of every one of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,18 +215,7 @@ def _window_arrays(docs: DataFrame, runs: DataFrame, symbols: Callable, window:
                 values, first = symbols(buf, offs)
                 part = slice(at[i], at[j])
                 owner = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
-                places = ranges(first[owner] + starts[part], counts[part])
-                a, b = window_hashes(values, places, window)
-                of = np.repeat(owner, counts[part])
-                by = np.lexsort((places, b, a, of))
-                again = np.zeros(by.size, bool)
-                again[by[1:]] = (of[by][1:] == of[by][:-1]) & (a[by][1:] == a[by][:-1]) & (b[by][1:] == b[by][:-1])
-                again_row, again_start, again_count = _joined(of[again], places[again] - first[of[again]])
-                if again_row.size:
-                    one = pa.array(np.arange(again_row.size + 1, dtype=np.int32))
-                    pick, none = pa.array(again_row + i), pa.array(np.zeros(again_row.size + 1, np.int32))
-                    n, empty = pa.ListArray.from_arrays(one, pa.array(again_count)), pa.ListArray.from_arrays(none, pa.array([], pa.int64()))
-                    yield pa.record_batch([pa.nulls(again_row.size, pa.int64()), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(again_start), n, empty], ["seed", "_doc", "_t", "start", "h", "g"])
+                a, b = window_hashes(values, ranges(first[owner] + starts[part], counts[part]), window)
                 ends = pa.array(np.concatenate([[0], np.cumsum(counts[part])]).astype(np.int32))
                 pick = pa.array(owner + i)
                 h, g = (pa.ListArray.from_arrays(ends, pa.array(x.view(np.int64))) for x in (a, b))
@@ -214,21 +224,20 @@ def _window_arrays(docs: DataFrame, runs: DataFrame, symbols: Callable, window:
     return with_runs(docs, runs).mapInArrow(run, "seed long, _doc long, _t int, start long, h array<long>, g array<long>")
 
 
-def late_windows(docs: DataFrame, runs: DataFrame, symbols: Callable, window: int, within_rows: bool, name: str) -> DataFrame:
-    """Of the runs' windows, those that a document with a smaller id has, or the row itself before.
+def late_windows(docs: DataFrame, runs: DataFrame, symbols: Callable, window: int, name: str) -> DataFrame:
+    """Of the runs' windows, those that a document with a smaller id has.
 
     All runs of a seed are compared with its first one, which settles what they have in common
     with it; equal windows have equal seeds, so what is left only has to be compared with what is
-    left, by hash.
+    left, by 128-bit hash.
     """
-    every = written(_window_arrays(docs, runs, symbols, window), f"{name}-windows")
-    rows = every.where(F.col("seed").isNotNull())
+    rows = written(_window_arrays(docs, runs, symbols, window), f"{name}-windows")
     firsts = rows.groupBy("seed").agg(F.min(F.struct("_doc", "_t", "start", "h", "g")).alias("f"))
     firsts = firsts.select("seed", *(F.col(f"f.{c}").alias(f"f{c}") for c in ("_doc", "_t", "start", "h", "g")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, tag, start, f_doc, f_tag, f_start = (batch.column(c).to_numpy() for c in ("_doc", "_t", "start", "f_doc", "f_t", "fstart"))
+            doc, tag, start, f_doc = (batch.column(c).to_numpy() for c in ("_doc", "_t", "start", "f_doc"))
             (h, at), (g, _), (fh, f_at), (fg, _) = (lists(batch.column(c)) for c in ("h", "g", "fh", "fg"))
             row = np.repeat(np.arange(batch.num_rows), np.diff(at))
             f_row = np.repeat(np.arange(batch.num_rows), np.diff(f_at))
@@ -242,37 +251,22 @@ def late_windows(docs: DataFrame, runs: DataFrame, symbols: Callable, window: in
             shared = np.empty(by.size, bool)
             shared[by] = ~mine[by][np.maximum.accumulate(np.where(new, np.arange(by.size), 0))]
             shared = shared[fh.size :]
-            later = doc > f_doc
-            if within_rows:
-                later |= (doc == f_doc) & (tag == f_tag) & (start > f_start)
-            for late, which in ((True, shared & later[row]), (False, ~shared)):
-                w = np.flatnonzero(which)
-                yield pa.record_batch([pa.array(np.full(w.size, late)), pa.array(h[w]), pa.array(g[w]), pa.array(doc[row[w]]), pa.array(tag[row[w]]), pa.array(place[w])], ["late", "h", "g", "_doc", "_t", "start"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in compare(batches):
-            if not batch.num_rows or not batch.column(0)[0].as_py():
-                yield batch
-                continue
             # Late windows that follow each other are one row; their hashes no longer matter.
-            doc, tag, start = (batch.column(c).to_numpy() for c in (3, 4, 5))
-            _, row = np.unique(np.stack([doc, tag.astype(np.int64)]), axis=1, return_inverse=True)
-            first = np.unique(row, return_index=True)[1]
-            row, start, n = _joined(row, start)
-            yield pa.record_batch([pa.array(np.full(n.size, True)), pa.array(n), pa.array(n), pa.array(doc[first][row]), pa.array(tag[first][row]), pa.array(start)], batch.schema.names)
-
-    told = written(rows.join(firsts, "seed").mapInArrow(joined, "late boolean, h long, g long, _doc long, _t int, start long"), f"{name}-compared")
+            late = np.flatnonzero(shared & (doc > f_doc)[row])
+            of, begin, n = joined(row[late], place[late])
+            yield pa.record_batch([pa.array(np.full(n.size, True)), pa.array(n), pa.array(n), pa.array(doc[of]), pa.array(tag[of]), pa.array(begin)], ["late", "h", "g", "_doc", "_t", "start"])
+            w = np.flatnonzero(~shared)
+            yield pa.record_batch([pa.array(np.full(w.size, False)), pa.array(h[w]), pa.array(g[w]), pa.array(doc[row[w]]), pa.array(tag[row[w]]), pa.array(place[w])], ["late", "h", "g", "_doc", "_t", "start"])
+
+    told = written(rows.join(firsts, "seed").mapInArrow(compare, "late boolean, h long, g long, _doc long, _t int, start long"), f"{name}-compared")
+    discard(rows)
     windows = told.where("not late").drop("late")
     least = windows.groupBy("h", "g").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")).where("first < last")
     least = written(least.select("h", "g", "first"), f"{name}-least")
     small = least.count() <= BROADCAST_RUNS
     rest = windows.join(F.broadcast(least) if small else least, ["h", "g"]).where("_doc > first")
     late = told.where("late").select("_doc", "_t", "start", F.col("h").alias("count"))
-    late = late.unionByName(rest.select("_doc", "_t", "start", F.lit(1).cast("long").alias("count")))
-    if not within_rows:
-        return late
-    again = every.where(F.col("seed").isNull()).select("_doc", "_t", "start", F.col("h")[0].alias("count"))
-    return late.unionByName(again)
+    return late.unionByName(rest.select("_doc", "_t", "start", F.lit(1).cast("long").alias("count")))
 
 
 def by_document(runs: DataFrame) -> DataFrame:

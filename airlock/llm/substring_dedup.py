@@ -1,14 +1,14 @@
 """Repeated word passages removed, by doubling the length of windows that repeat.
 
-The first level takes windows of half the length (their least-hash representatives, see
-repeats.py): only those that repeat in another document are extended to the full length. Full
-windows around them are settled as whole runs where all copies agree; what is still open after
-that is compared window by window, and no candidate is left at the end.
+The levels of a window of 50 words are 7, 13, 25 and 50: each level takes only the windows whose
+parts of the level before repeat in another document, and asks the same of parts about twice as long
+(named by their least hash, see repeats.py), until no candidate survives or the full length is
+reached. There, windows are settled as whole runs where all copies agree, and what is still open is
+compared window by window.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +20,17 @@ from airlock.llm.flat import flat, pieces, words
 from airlock.llm.repeats import by_document, covered, find, keyed, late_windows, lists, word_symbols
 
 WINDOW = 50
+#: The shortest part of a window that a level looks at.
+SHORTEST = 6
+
+
+def levels_of(window: int) -> tuple[int, ...]:
+    """Lengths of the levels below the window itself, each about twice the one before."""
+    out = [(window + 1) // 2]
+    while (out[0] + 1) // 2 >= SHORTEST:
+        out.insert(0, (out[0] + 1) // 2)
+    return tuple(out)
+
 
 
 def remove_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,8 +60,8 @@ def without_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
 
 
 def _repeated(base: DataFrame, window: int) -> DataFrame:
-    found = find(base, word_symbols, window, (window + 1) // 2, within_rows=False, name="seeds")
-    return found.lost.unionByName(late_windows(found.docs, found.open, word_symbols, window, within_rows=False, name="word"))
+    found = find(base, word_symbols, window, levels_of(window), within_rows=False, name="seeds")
+    return found.lost.unionByName(late_windows(found.docs, found.open, word_symbols, window, name="word"))
 
 
 def _kept(base: DataFrame, runs: DataFrame, window: int) -> DataFrame:
@@ -89,24 +100,3 @@ def drop_words(docs: DataFrame, runs: DataFrame | None, window: int) -> DataFram
         joined = docs.join(by_document(runs), ["_doc", "_t"], "left").select("_doc", "_t", "_text", "starts", "counts", *carried)
     schema = docs.select("_doc", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept"), *carried).schema
     return joined.mapInArrow(run, schema)
-
-
-def brute_force(rows: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple[int, int, int, str]]:
-    """What the query over remove_passages returns, the plain way; for tests."""
-    import re
-
-    split = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
-    least: dict[tuple, int] = {}
-    for d, w in split:
-        for i in range(len(w) - window + 1):
-            key = tuple(w[i : i + window])
-            least[key] = min(d, least.get(key, d))
-    out = []
-    for d, w in split:
-        gone = set()
-        for i in range(len(w) - window + 1):
-            if least[tuple(w[i : i + window])] < d:
-                gone.update(range(i, i + window))
-        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
-        out.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    return out
