@@ -6,10 +6,10 @@ of each other differ in at most RADIUS // BLOCKS bits of some block, so probing
 all patterns of that many bits misses none. What is within the radius is then compared by its
 shingles themselves, each weighted by how often it occurs. Windows that hold too few shingles of
 any item to reach the threshold are left out before their fingerprints are made; none that could
-pass is lost by that.
+pass is lost by that. Nor by the radius: a pair outside it that has enough shingles in common for
+the threshold is compared in the same way.
 
-The benchmark travels to the executors in slices of bounded size; a benchmark of several slices is
-searched slice by slice.
+The benchmark travels to the executors in slices of bounded size, one slice at a time.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airlock.llm.flat import flat, mix, pieces, powers, prefix, ranges, span_hash, word_hashes, words
+from airlock.llm.store import discard, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -94,7 +95,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class _Length:
-    """Items of one number of words: their ids, shingles, fingerprints, and a table of each block."""
+    """Items of one number of words: their ids, shingles and fingerprints."""
 
     words: int
     shingle: int
@@ -107,27 +108,34 @@ class _Length:
         mine, theirs = _blocks(self.prints), _blocks(prints)
         pairs = [np.zeros(0, np.int64)]
         n = len(self.items)
-        if n <= _probes().size:  # fewer items than patterns: try the items' blocks instead
-            for k in range(0, len(prints), max(1, (1 << 18) // n)):
-                part = theirs[k : k + max(1, (1 << 18) // n)]
-                apart = np.bitwise_count(part[:, None, :] ^ mine[None, :, :]).min(2)
-                window, item = np.nonzero(apart <= RADIUS // BLOCKS)
-                pairs.append((k + window) * n + item)
-        for b in range(BLOCKS if n > _probes().size else 0):
+        for b in range(BLOCKS):
             order = np.argsort(mine[:, b], kind="stable")
-            values = mine[order, b]
+            first = np.searchsorted(mine[order, b], np.arange((1 << _BLOCK_BITS) + 1))
             for k in range(0, len(prints), 4096):
                 seen = (theirs[k : k + 4096, b, None] ^ _probes()[None, :]).ravel()
-                low, high = np.searchsorted(values, seen), np.searchsorted(values, seen, side="right")
-                hit = np.flatnonzero(high > low)
-                count = (high - low)[hit]
+                hit = np.flatnonzero(first[seen + 1] > first[seen])
+                low = first[seen[hit]]
+                count = first[seen[hit] + 1] - low
                 window = np.repeat(k + hit // _probes().size, count)
-                pairs.append(np.unique(window * n + order[ranges(low[hit], count)]))
+                pairs.append(np.unique(window * n + order[ranges(low, count)]))
         pair = np.unique(np.concatenate(pairs))
         window, item = pair // n, pair % n
         near = np.bitwise_count(prints[window] ^ self.prints[item]).sum(1) <= RADIUS
         return window[near], item[near]
 
+    def sharing(self, shingles: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of (window, item) with as many places in common as the threshold takes at least."""
+        n, inside = len(self.items), self.shingles.shape[1]
+        known, back = np.unique(self.shingles.ravel(), return_inverse=True)
+        owners = np.unique(back * n + np.repeat(np.arange(n), inside))  # each item once for a shingle
+        first = np.searchsorted(owners, np.arange(known.size + 1) * n)
+        at = np.minimum(np.searchsorted(known, shingles.ravel()), known.size - 1)
+        hit = np.flatnonzero(known[at] == shingles.ravel())
+        count = first[at[hit] + 1] - first[at[hit]]
+        pair, times = np.unique(np.repeat(hit // inside, count) * n + owners[ranges(first[at[hit]], count)] % n, return_counts=True)
+        enough = pair[times >= 2 * inside * threshold / (1 + threshold) - 1e-9]
+        return enough // n, enough % n
+
 
 @dataclass
 class Index:
@@ -183,11 +191,13 @@ def search(index: Index, buf: np.ndarray, offs: np.ndarray, threshold: float) ->
         starts = starts[(starts >= 0) & (starts + group.words <= symbols.size)]
         row = np.searchsorted(first, starts, side="right") - 1
         starts = starts[starts + group.words <= first[row + 1]]
-        for k in range(0, starts.size, 8192):
-            part = starts[k : k + 8192]
+        for k in range(0, starts.size, 2048):
+            part = starts[k : k + 2048]
             at = part[:, None] + np.arange(inside)
             shingles = span_hash(sums, at, at + group.shingle)
-            window, item = group.candidates(fingerprints(shingles))
+            near, beyond = group.candidates(fingerprints(shingles)), group.sharing(shingles, threshold)
+            pair = np.unique(np.concatenate([w * len(group.items) + i for w, i in (near, beyond)]))
+            window, item = pair // len(group.items), pair % len(group.items)
             alike = similarity(shingles[window], group.shingles[item])
             good = np.flatnonzero(alike >= threshold - 1e-12)
             rows = np.searchsorted(first, part[window[good]], side="right") - 1
@@ -200,15 +210,14 @@ def search(index: Index, buf: np.ndarray, offs: np.ndarray, threshold: float) ->
     return np.array([x[0] for x in keys], np.int64), [x[1] for x in keys], *(np.array([best[x][c] * s for x in keys], t) for c, s, t in ((1, 1, np.int64), (2, 1, np.int64), (0, -1, float)))
 
 
-def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> list[Index]:
+def _slices(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[int, Index]]:
+    """The number of slices, and the index of one slice after the other: the driver holds one."""
     chars = benchmark.agg(F.sum(F.length(text_col))).first()[0] or 0
     slices = max(1, -(-chars // SLICE_CHARS))
     named = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("i"), _plain(text_col).alias("t"))
-    out = []
     for k in range(slices):
         part = named.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k).collect()
-        out.append(index_of([r.i for r in part], [r.t for r in part]))
-    return out
+        yield slices, index_of([r.i for r in part], [r.t for r in part])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -222,7 +231,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILAR
     id_kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     schema = f"_id {id_kind}, item {item_kind.simpleString()}, start_word long, n_words long, similarity double"
     found = None
-    for index in _indexes(benchmark, item_col, item_text):
+    for slices, index in _slices(benchmark, item_col, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -233,14 +242,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILAR
                         yield pa.record_batch([batch.column(0).take(pa.array(row + i)), pa.array(item), pa.array(start), pa.array(n), pa.array(alike)], ["_id", "item", "start_word", "n_words", "similarity"])
 
         part = docs.select(F.col(id_col).alias("_id"), _plain(text_col).alias("_text")).mapInArrow(run, schema)
+        if slices > 1:
+            part = written(part, "leaks")
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     return found.withColumnRenamed("_id", id_col)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that hold no benchmark item (see find_leaks)."""
-    columns = docs.columns
-    for index in _indexes(benchmark, item_col, item_text):
+    columns, schema, before = docs.columns, docs.schema, None
+    for slices, index in _slices(benchmark, item_col, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -250,5 +262,11 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMI
                     keep[search(shared.value, buf, offs, threshold)[0] + i] = False
                 yield batch.filter(pa.array(keep)).select(range(len(columns)))
 
-        docs = docs.select("*", _plain(text_col).alias("_airlock_lower")).mapInArrow(run, docs.schema)
+        docs = docs.select("*", _plain(text_col).alias("_airlock_lower")).mapInArrow(run, schema)
+        if slices > 1:
+            docs = written(docs, "clean")
+            shared.destroy()
+            if before is not None:
+                discard(before)
+            before = docs
     return docs

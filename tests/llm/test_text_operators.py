@@ -1,7 +1,9 @@
 """Substring removal, similarity join, decontamination, packing and token counts against plain versions."""
 
+import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -9,9 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from airlock.llm import decontamination, ngram_join, packing, substring_dedup, suffix_dedup, token_counts
+from airlock.llm import decontamination, ngram_join, packing, repeats, substring_dedup, suffix_array, suffix_dedup, token_counts
 from airlock.llm.flat import flat, words
-from airlock.llm.suffix_array import permuted_prefixes, suffix_array
 from airlock.llm.tokens import default_path, encoder
 
 DOCS = "doc_id long, text string, start string, node long, ids int, h long"
@@ -50,6 +51,42 @@ def _odd_rows(rows):
     return [*rows, rows[0], rows[0], (None, "no id " * 80), (None, None), (7, "another text of the same id " * 20)]
 
 
+def _passages(rows, window=50):
+    split = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
+    least: dict[tuple, int] = {}
+    for d, w in split:
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            least[key] = min(d, least.get(key, d))
+    out = []
+    for d, w in split:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if least[tuple(w[i : i + window])] < d:
+                gone.update(range(i, i + window))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+def _strings(rows, length=100):
+    least: dict[bytes, tuple[int, int]] = {}
+    texts = [(d, (t or "").encode()) for d, t in rows]
+    for d, b in texts:
+        for i in range(len(b) - length + 1):
+            key = b[i : i + length]
+            least[key] = min((d, i), least.get(key, (d, i)))
+    out = []
+    for d, b in texts:
+        gone = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - length + 1):
+            if least[b[i : i + length]] < (d, i):
+                gone[i : i + length] = True
+        kept = bytes(x for x, g in zip(b, gone.tolist(), strict=False) if not g)
+        out.append((d, len(b), int(gone.sum()), int((gone[:-1] & ~gone[1:]).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
 def test_words():
     import pyarrow as pa
 
@@ -62,7 +99,7 @@ def test_words():
 
 def test_remove_passages(spark, corpus):
     got = substring_dedup.remove_passages(_frame(spark, corpus)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
-    assert sorted(map(tuple, got)) == sorted(substring_dedup.brute_force(corpus))
+    assert sorted(map(tuple, got)) == sorted(_passages(corpus))
     assert sum(r.n_removed for r in got) > 100
 
 
@@ -70,7 +107,7 @@ def test_remove_passages_odd_rows(spark, corpus):
     rows = _odd_rows(corpus)
     got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_passages(_frame(spark, rows)).collect())
     known = [r for r in rows if r[0] is not None]
-    want = Counter(x[:3] for x in substring_dedup.brute_force(known))
+    want = Counter(x[:3] for x in _passages(known))
     want.update([(None, 160, 0), (None, 0, 0)])
     assert got == want
 
@@ -79,20 +116,67 @@ def test_without_passages_keeps_columns(spark, corpus):
     df = _frame(spark, corpus)
     out = substring_dedup.without_passages(df)
     assert out.columns == df.columns and out.count() == len(corpus)
-    texts, changed = dict(corpus), {x[0] for x in substring_dedup.brute_force(corpus) if x[2]}
+    texts, changed = dict(corpus), {x[0] for x in _passages(corpus) if x[2]}
     assert all((r.text != texts[r.doc_id]) == (r.doc_id in changed) for r in out.collect())
 
 
 def test_remove_repeats(spark, corpus):
     got = suffix_dedup.remove_repeats(_frame(spark, corpus)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
-    assert sorted(map(tuple, got)) == sorted(suffix_dedup.brute_force(corpus))
+    assert sorted(map(tuple, got)) == sorted(_strings(corpus))
 
 
-def test_remove_repeats_by_hash_alone(spark, corpus, monkeypatch):
-    """Seeds with many texts go the other way; here all do."""
-    monkeypatch.setattr(suffix_dedup, "SHARD_TEXTS", 1)
-    got = suffix_dedup.remove_repeats(_frame(spark, corpus)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
-    assert sorted(map(tuple, got)) == sorted(suffix_dedup.brute_force(corpus))
+def _noisy(corpus):
+    """Also texts that quote one passage between different words: many entries of a few seeds."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    passage = " ".join(word() for _ in range(60))
+    quotes = [f"{' '.join(word() for _ in range(rng.randint(1, 9)))} {passage} {' '.join(word() for _ in range(rng.randint(1, 9)))}" for _ in range(40)]
+    quotes += [f"{quotes[3][:80]} {word()} {quotes[3]}", f"{quotes[5]} {quotes[5]}"]
+    return [*corpus, *((200 + k, t) for k, t in enumerate(quotes))]
+
+
+@pytest.mark.parametrize("switch", [None, (suffix_dedup, "SHARD_ENTRIES", 2), (suffix_dedup, "SHARD_BYTES", 1), (repeats, "_FILTER_BITS", 6), "joins"])
+def test_remove_repeats_either_way(spark, corpus, monkeypatch, switch):
+    """Seeds dealt over many shards, a shard for each seed, a filter that admits all, joins by shuffle."""
+    if switch == "joins":
+        monkeypatch.setattr(repeats, "BROADCAST_RUNS", -1)
+        monkeypatch.setattr(suffix_dedup, "BROADCAST_RUNS", -1)
+        monkeypatch.setattr(suffix_dedup, "SHARD_ENTRIES", 3)
+    elif switch:
+        monkeypatch.setattr(*switch)
+    rows = _noisy(corpus)
+    got = suffix_dedup.remove_repeats(_frame(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got)) == sorted(_strings(rows))
+
+
+def test_rows_of_one_id_over_many_shards(spark, monkeypatch):
+    """Hardly any shard room and all rows of two ids: the rounds end, and only the larger id loses."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_ENTRIES", 1)
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    shared = text(150)
+    rows = [(1 + k // 8, text(30) + chr(65 + k) + shared + chr(65 + k) + text(30)) for k in range(16)]
+    got = sorted((r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(_frame(spark, rows)).collect())
+    assert got == [(1, 0)] * 8 + [(2, 150)] * 8
+
+
+@pytest.mark.parametrize("switch", [(repeats, "_FILTER_BITS", 6), (repeats, "BROADCAST_RUNS", -1)])
+def test_remove_passages_either_way(spark, corpus, monkeypatch, switch):
+    monkeypatch.setattr(*switch)
+    rows = _noisy(corpus)
+    got = substring_dedup.remove_passages(_frame(spark, rows)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got)) == sorted(_passages(rows))
+
+
+@pytest.mark.parametrize("window", [1, 2, 5, 13, 300])
+def test_remove_passages_of_any_length(spark, corpus, window):
+    rows = [*corpus, (300, " ".join(f"w{i}" for i in range(700))), (301, "x " + " ".join(f"w{i}" for i in range(50, 500)))]
+    got = substring_dedup.remove_passages(_frame(spark, rows), window).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got)) == sorted(_passages(rows, window))
+
+
+def test_levels():
+    assert substring_dedup.levels_of(50) == (7, 13, 25) and substring_dedup.levels_of(1) == (1,)
 
 
 def test_remove_repeats_odd_rows(spark, corpus):
@@ -104,23 +188,42 @@ def test_remove_repeats_odd_rows(spark, corpus):
             want.update([(None, len((t or "").encode()), 0, 0)])
         else:
             others = [r for r in rows if r[0] is not None and r[0] != d]
-            want.update([next(x[:4] for x in suffix_dedup.brute_force([(d, t), *others]) if x[0] == d)])
+            want.update([next(x[:4] for x in _strings([(d, t), *others]) if x[0] == d)])
     assert got == want
 
 
-def test_suffix_arrays():
+@pytest.mark.parametrize("buckets", [1024, 0])
+def test_suffix_arrays(monkeypatch, buckets):
+    """Bucket by bucket and all buckets together."""
+    monkeypatch.setattr(suffix_array, "BUCKET_SYMBOLS", buckets)
     rng = random.Random(5)
-    for trial in range(60):
-        n, k = rng.randint(0, 50), rng.choice([1, 2, 3, 200])
+    for trial in range(80):
+        n, k = rng.randint(0, 60), rng.choice([1, 2, 3, 200])
         t = np.array([rng.randint(1, k) for _ in range(n)] + [0])
         want = sorted(range(t.size), key=lambda i, t=t: t[i:].tolist())
-        assert suffix_array(t).tolist() == want, trial
-        shared = permuted_prefixes(t, np.array(want), 5)
-        assert (permuted_prefixes(t, np.array(want), 5, least=2) == np.where(shared >= 2, shared, 0)).all()
+        assert suffix_array.suffix_array(t).tolist() == want, trial
+        shared = suffix_array.permuted_prefixes(t, np.array(want), 5)
         for r in range(1, t.size):
             a, b = t[want[r] :].tolist(), t[want[r - 1] :].tolist()
             m = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-            assert shared[r] == min(m, 5)
+            assert shared[want[r]] == min(m, 5)
+
+
+def test_suffix_array_of_many_names():
+    """Long enough that the substrings of the first level have over 4,096 names; and a run of one symbol."""
+    rng = np.random.default_rng(1)
+    raw = rng.integers(0, 8, 60_000).astype(np.uint8)
+    raw[30_000:50_000] = raw[:20_000]
+    t = np.append(raw.astype(np.int32) + 1, 0)
+    order = suffix_array.suffix_array(t)
+    assert sorted(order.tolist()) == list(range(t.size))
+    text = bytes(t.astype(np.uint8))
+    assert all(text[a : a + 25_000] < text[b : b + 25_000] for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True))
+    shared = suffix_array.permuted_prefixes(t, order, 100)[order]
+    assert (shared >= 100).sum() >= 19_900
+    began = time.time()
+    same = suffix_array.suffix_array(np.append(np.ones(1 << 20, np.int32), 0))
+    assert same.tolist() == list(range(1 << 20, -1, -1)) and time.time() - began < 2
 
 
 def _components(rows, n, percent):
@@ -234,7 +337,7 @@ def _leaks(docs, items):
 
 @pytest.mark.parametrize("n", [5, 900])
 def test_multi_index_misses_none(n):
-    """Both ways through the index, few items and many, find every fingerprint within the radius."""
+    """With few items and with many, every fingerprint within the radius is found."""
     rng = np.random.default_rng(n)
     items = rng.integers(0, 1 << 63, (n, 2)).astype(np.uint64)
     flips = (rng.random((60, 128)) < rng.choice([0.1, 0.2, 0.26], (60, 1))).astype(np.uint8)
@@ -245,6 +348,34 @@ def test_multi_index_misses_none(n):
     assert set(zip(window.tolist(), item.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(apart <= decontamination.RADIUS)), strict=True))
 
 
+def _borderline(seed=6, n=40):
+    """Items, and texts that have just enough, or just too few, of their shingles."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 6)))
+    items, docs = [], []
+    for i in range(n):
+        w = [word() for _ in range(rng.choice([40, 47, 58]))]
+        items.append((i, " ".join(w)))
+        for cut in (2, 3, 4, 5, 6):
+            docs.append((10 * i + cut, " ".join([*w[:-cut], *(word() for _ in range(cut))])))
+    return docs, items
+
+
+def test_threshold_is_exact_beyond_the_radius(spark, monkeypatch):
+    """No pair at the threshold is lost, whatever its fingerprints; slices of the benchmark change nothing."""
+    docs, items = _borderline()
+    want = _leaks(docs, items)
+    df, bench = _frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: {(r.doc_id, r.item): (r.start_word, r.n_words, round(r.similarity, 9)) for r in decontamination.find_leaks(df, bench).collect()}
+    assert found() == want and 0 < len(want) < len(docs)
+    monkeypatch.setattr(decontamination, "RADIUS", 0)
+    decontamination._probes.cache_clear()
+    monkeypatch.setattr(decontamination, "SLICE_CHARS", 4000)
+    assert found() == want
+    assert {r.doc_id for r in decontamination.without_leaks(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    decontamination._probes.cache_clear()
+
+
 def test_find_leaks(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(2, 5)))
