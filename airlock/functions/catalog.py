@@ -65,11 +65,19 @@ ACTION = "chat.send"
 # What a use of a ticket is answered with.
 UNKNOWN, EXPIRED, REPLAY, ALLOWED, BLOCKED = "unknown ticket", "expired ticket", "replay blocked", "user allowed", "user blocked"
 
-# Fixed values: (tool, tier, reason) of the policy table.
+# What a prompt says.
+TITLE_FOUND, TITLE_LONG = "This looks sensitive", "Large message"
+DETECTED = ("Detected: ", ". Blocked before the model saw it.")
+UNUSUAL = ("This message is unusually long (", " chars). Review before sending.")
+BADGES = {"high": "High risk", "medium": "Review", "low": "Low risk"}
+BUTTON_HIGH, BUTTON = "Send anyway", "Allow"
+SENDING = ("Sending to ", ". This action requires your approval.")
+
+#: (tool, tier, reason): a policy to start from; any table of that form will do.
 POLICY: tuple[tuple[str, str, str | None], ...] = (
-    ("pdf.summarize", "Low", "Read-only action — no external side effects."),
-    ("email.send_draft", "Medium", "Outbound action — approve wording before it goes out."),
-    ("billing.update", "High", "Financial + identity impact. Requires explicit approval."),
+    ("pdf.summarize", "Low", "reads only"),
+    ("email.send_draft", "Medium", "leaves the house"),
+    ("billing.update", "High", "moves money"),
     ("db.query", "Low", None),
     ("fs.read", "Medium", None),
 )

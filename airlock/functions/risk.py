@@ -55,13 +55,12 @@ def prompt_texts(found_text: Column, label: Column, prompt: Column, product: Col
     """Title, description, badge, button and line of a prompt; the first two only if it alerts."""
     found = found_text != ""
     alert = alert_needed(found, label)
-    unusual = F.concat(F.lit("This message is unusually long ("), F.length(prompt).cast("string"), F.lit(" chars). Review before sending."))
-    detected = F.concat(F.lit("Detected: "), found_text, F.lit(". Blocked before the model saw it."))
+    around = lambda text, said: F.concat(F.lit(said[0]), text, F.lit(said[1]))
     return {
         "alert": alert,
-        "title": F.when(alert, F.when(found, "This looks sensitive").otherwise("Large message")),
-        "description": F.when(alert, F.when(found, detected).otherwise(unusual)),
-        "badge": F.when(label == "high", "High risk").when(label == "medium", "Review").otherwise("Low risk"),
-        "button": F.when(label == "high", "Send anyway").otherwise("Allow"),
-        "line": F.concat(F.lit("Sending to "), F.upper(product), F.lit(". This action requires your approval.")),
+        "title": F.when(alert, F.when(found, c.TITLE_FOUND).otherwise(c.TITLE_LONG)),
+        "description": F.when(alert, F.when(found, around(found_text, c.DETECTED)).otherwise(around(F.length(prompt).cast("string"), c.UNUSUAL))),
+        "badge": F.when(label == "high", c.BADGES["high"]).when(label == "medium", c.BADGES["medium"]).otherwise(c.BADGES["low"]),
+        "button": F.when(label == "high", c.BUTTON_HIGH).otherwise(c.BUTTON),
+        "line": around(F.upper(product), c.SENDING),
     }

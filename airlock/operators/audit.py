@@ -29,7 +29,8 @@ def log(*events: DataFrame) -> DataFrame:
     both = events[0]
     for more in events[1:]:
         both = both.unionByName(more, allowMissingColumns=True)
-    return both.select(*COLUMNS)
+    missing = {n: F.lit(None).cast(kind) for n, kind in (("message", "string"), ("port", "int")) if n not in both.columns}
+    return both.withColumns(missing).select(*COLUMNS)
 
 
 def feed(events: DataFrame, rows: int = catalog.FEED_ROWS) -> DataFrame:
@@ -52,7 +53,20 @@ def line() -> Column:
     )
 
 
-def as_json() -> Column:
-    """An event as the feed's JSON object; fields that an event doesn't have are left out."""
-    data = F.struct("ticket", "risk", "preflight", "decision", "reason", "choice", "secrets", "message", "port")
-    return F.to_json(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "kind", data.alias("data")))
+#: The fields of an event's data in the feed.
+DATA = ("ticket", "risk", "preflight", "decision", "reason", "choice", "secrets", "message", "port")
+FEED_SCHEMA = "array<struct<ts_ms: long, kind: string, data: struct<ticket: string, risk: int, preflight: string, decision: string, reason: string, choice: string, secrets: long, message: string, port: int>>>"
+
+
+def feed_json(shown: DataFrame) -> DataFrame:
+    """One row, `events`: the feed's rows as a JSON array, newest first; fields that an event doesn't
+    have are left out. `shown` is a feed, and so of bounded size."""
+    event = F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "kind", F.struct(*DATA).alias("data"))
+    rows = F.sort_array(F.collect_list(F.struct("ts", "seq", event.alias("event"))), asc=False)
+    return shown.agg(F.to_json(F.transform(rows, lambda r: r["event"])).alias("events"))
+
+
+def feed_events(feed: DataFrame) -> DataFrame:
+    """(pos, ts_ms, kind, and the fields of data) read back from the JSON array."""
+    rows = feed.select(F.posexplode(F.from_json("events", FEED_SCHEMA)).alias("pos", "e"))
+    return rows.select("pos", "e.ts_ms", "e.kind", "e.data.*")

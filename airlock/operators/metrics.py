@@ -20,15 +20,20 @@ def _flags() -> dict[str, Column]:
     }
 
 
+def counts() -> list[Column]:
+    """The counters of uses as aggregates."""
+    return [F.count_if(flag).alias(name) for name, flag in _flags().items()]
+
+
 def counters(events: DataFrame) -> DataFrame:
     """One row: uses, and how they were decided; and decide requests with a secret."""
     secret = (F.col("kind") == "DECIDE") & (F.col("secrets") > 0)
-    return events.agg(*(F.count_if(flag).alias(name) for name, flag in _flags().items()), F.count_if(secret).alias("secrets_caught"))
+    return events.agg(*counts(), F.count_if(secret).alias("secrets_caught"))
 
 
 def dashboard(feed: DataFrame) -> DataFrame:
     """The counts that a display takes from the feed's rows."""
-    return feed.where(F.col("kind") == "CONSUME").agg(*(F.count_if(flag).alias(name) for name, flag in _flags().items()))
+    return feed.where(F.col("kind") == "CONSUME").agg(*counts())
 
 
 def feed_against_counters(events: DataFrame, feed: DataFrame) -> DataFrame:
@@ -38,21 +43,33 @@ def feed_against_counters(events: DataFrame, feed: DataFrame) -> DataFrame:
     return both.select("*", *((F.col(n) - F.col(f"feed_{n}")).alias(f"missing_{n}") for n in COUNTERS))
 
 
-def running(events: DataFrame, bucket: str = "hour") -> DataFrame:
+def displayed(stats: DataFrame) -> DataFrame:
+    """stats with all counters: one that is missing, as a value or as a column, is shown as 0."""
+    have = set(stats.columns)
+    shown = {n: F.coalesce(F.col(n), F.lit(0)).cast("long") if n in have else F.lit(0).cast("long") for n in (*COUNTERS, "secrets_caught")}
+    return stats.withColumns(shown)
+
+
+def running(events: DataFrame, parts: int | None = None) -> DataFrame:
     """Each event with its position in the log (from 1) and the counters as of it.
 
-    Two levels: sums inside buckets of time, plus the totals of all earlier buckets, of which there
-    are few. No window runs over the whole log.
+    Two levels: sums inside parts of the log, plus the totals of all earlier parts. The parts are
+    ranges of time that hold about as many events each, whatever bursts the log has; there are as
+    many as shuffle partitions, and only their bounds come to the driver.
     """
     flagged = events.select("ts", "seq", "kind", *(F.coalesce(f, F.lit(False)).cast("long").alias(n) for n, f in _flags().items()))
-    cut = flagged.withColumn("_b", F.date_trunc(bucket, "ts")).withColumn("position", F.lit(1).cast("long"))
+    parts = parts or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    bounds = flagged.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else None
+    part = F.size(F.filter(F.array(*(F.lit(b) for b in sorted(set(bounds)))), lambda b: b <= F.col("_at"))) if bounds else F.lit(0)
+    cut = flagged.withColumn("_at", F.coalesce(at, F.lit(-(1 << 63)))).withColumn("_b", part).drop("_at").withColumn("position", F.lit(1).cast("long"))
     names = ("position", *COUNTERS)
     totals = cut.groupBy("_b").agg(*(F.sum(n).alias(n) for n in names))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("_b", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in names))
     inside = Window.partitionBy("_b").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = cut.select("ts", "seq", "kind", "_b", *(F.sum(n).over(inside).alias(n) for n in names))
-    return sums.join(base, "_b").select("ts", "seq", "kind", *((F.col(n) + F.col(f"_{n}")).alias(n) for n in names))
+    return sums.join(F.broadcast(base), "_b").select("ts", "seq", "kind", *((F.col(n) + F.col(f"_{n}")).alias(n) for n in names))
 
 
 def feed_depth(events: DataFrame, rows: int = c.FEED_ROWS) -> DataFrame:

@@ -14,17 +14,21 @@ def decide_uses(decides: DataFrame, uses: DataFrame, ttl: Column) -> DataFrame:
     decides has one row (ticket, issued) for each ticket. Checked in this order: a ticket that was
     not issued yet is unknown; after issued + ttl it is expired; the first use that is neither uses
     the ticket up, whatever its choice; later ones are replays. The first use is found by a minimum
-    for each ticket, so uses of one busy ticket need not meet in one task.
+    for each ticket; it then joins the tickets, so the uses meet their tickets in one join each time.
+
+    decides may also say which tickets are `used` already, and which were known `before` any of the
+    uses, whatever their times.
     """
-    known = decides.select("ticket", "issued")
-    joined = uses.join(known, "ticket", "left")
-    state = F.when(F.col("issued").isNull() | (F.col("ts") < F.col("issued")), c.UNKNOWN).when(F.col("ts") > F.col("issued") + ttl, c.EXPIRED)
-    stated = joined.withColumn("_state", state).drop("issued")
-    firsts = stated.where(F.col("_state").isNull()).groupBy("ticket").agg(F.min(F.struct("ts", "seq")).alias("_first"))
-    ranked = stated.join(firsts, "ticket", "left")
+    have = set(decides.columns)
+    known = decides.select("ticket", "issued", *(F.col(n) if n in have else F.lit(False).alias(n) for n in ("used", "before")))
+    early = F.col("issued").isNull() | (~F.col("before") & (F.col("ts") < F.col("issued")))
+    late = F.col("ts") > F.col("issued") + ttl
+    live = uses.select("ticket", "ts", "seq").join(known.where(~F.col("used")), "ticket").where(~early & ~late)
+    firsts = live.groupBy("ticket").agg(F.min(F.struct("ts", "seq")).alias("_first"))
+    told = uses.join(known.join(firsts, "ticket", "left"), "ticket", "left")
     is_first = (F.col("ts") == F.col("_first.ts")) & (F.col("seq") == F.col("_first.seq"))
-    reason = F.when(F.col("_state").isNotNull(), F.col("_state")).when(~is_first, c.REPLAY).when(F.col("choice") == "ALLOW", c.ALLOWED).otherwise(c.BLOCKED)
-    told = ranked.withColumn("reason", reason).drop("_state", "_first")
+    reason = F.when(early, c.UNKNOWN).when(late, c.EXPIRED).when(~F.coalesce(is_first, F.lit(False)), c.REPLAY).when(F.col("choice") == "ALLOW", c.ALLOWED).otherwise(c.BLOCKED)
+    told = told.withColumn("reason", reason).drop("_first", "issued", "used", "before")
     return told.withColumn("decision", F.when(F.col("reason") == c.ALLOWED, "ALLOW").otherwise("DENY"))
 
 

@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlock.functions import catalog
+from airlock.functions import catalog, scan
+from airlock.functions.text import capped
 from airlock.operators.audit import consume_events, decide_events, log, startup
 from airlock.operators.tickets import decide_uses
+from airlock.sources import requests
 from airlock.sources.tables import table
 
 # What is planted, by key modulo 14, and where, by key / 14 modulo 4.
@@ -149,3 +151,28 @@ def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     line = F.coalesce(*(F.when(F.col("msg_id") % 9 == i, s) for i, s in enumerate(shapes)))
     return said.select("msg_id", line.alias("line"))
+
+
+REQUEST_START_MS = 1704067200000
+
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value): envelopes of the requests that the users' messages give rise to, in text form.
+
+    Message m asks for a ticket (every 11th in broken JSON) at second m, and uses it 5 seconds later
+    (every 4th in lower case, every 7th with another ticket's id); every third uses it again after 10
+    seconds, every fifth after 70.
+    """
+    said = messages(spark, sf_dir).where(F.col("role") == "user")
+    m, at = F.col("msg_id"), F.col("msg_id") * 1000 + REQUEST_START_MS
+    found = scan.findings(capped(F.col("msg")))
+    meta = requests.request_struct(pick(m % 3, ("chatgpt", "claude", "web")), pick(m % 3, ("chatgpt.com", "claude.ai", "example.org")), F.length("msg"), F.substring("msg", 1, catalog.PREVIEW_CHARS), found, (m % 100).cast("int"))
+    ask = F.when(m % 11 == 0, F.concat(F.lit("{broken "), m.cast("string"))).otherwise(F.to_json(meta))
+    used = F.to_json(F.struct(requests.ticket_id(m * 4 + F.when(m % 7 == 0, 1).otherwise(0)).alias("ticket"), pick(m % 4, ("allow", "ALLOW", "DENY", "ALLOW")).alias("choice")))
+    lines = F.array(
+        requests.envelope(at, m * 4, requests.DECIDE, ask),
+        requests.envelope(at + 5000, m * 4 + 1, requests.CONSUME, used),
+        F.when(m % 3 == 0, requests.envelope(at + 10000, m * 4 + 2, requests.CONSUME, used)),
+        F.when(m % 5 == 0, requests.envelope(at + 70000, m * 4 + 3, requests.CONSUME, used)),
+    )
+    return said.select(F.explode(F.array_compact(lines)).alias("value"))

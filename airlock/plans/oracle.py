@@ -101,6 +101,26 @@ hosts AS (SELECT *, {_case("conv_id % 3", ("chatgpt.com", "claude.ai", "example.
 asked AS (SELECT msg_id, {_PRODUCT} AS product, host, length, {_N_FINDINGS} AS secrets, score AS client_risk, p FROM hosts),
 {_service("asked", "p", "msg_id, product, host, length, secrets, client_risk")}"""
 
+_TICKET_ID = "substr(m5, 1, 8) || '-' || substr(m5, 9, 4) || '-' || substr(m5, 13, 4) || '-' || substr(m5, 17, 4) || '-' || substr(m5, 21, 12)"
+
+
+def _ticket_of(number: str) -> str:
+    return f"(SELECT {_TICKET_ID} FROM (SELECT md5(({number})::VARCHAR) AS m5))"
+
+
+#: asked: tickets issued by the request log; answered: what its uses are told.
+_REQUESTS = f"""{_MESSAGES}, said AS (SELECT *, msg_id AS k0, substr(msg, 1, 200) AS p FROM messages WHERE role = 'user'),
+{_service("said", "p", "k0, msg")},
+good AS (SELECT * FROM served WHERE k0 % 11 <> 0),
+asked AS (SELECT k0 * 4 AS seq, make_timestamp((1704067200 + k0) * 1000000) AS ts, {_ticket_of("k0 * 4")} AS ticket, risk, preflight, reason, substr(msg, 1, 6000) AS t, k0, length(msg)::INT AS length FROM good),
+tried AS (SELECT k0, unnest([1, 2, 3]) AS k FROM said),
+uses AS (SELECT k0 * 4 + k AS seq, make_timestamp((1704067200 + k0 + CASE k WHEN 1 THEN 5 WHEN 2 THEN 10 ELSE 70 END) * 1000000) AS ts, k, k0,
+  {_ticket_of("k0 * 4 + CASE WHEN k0 % 7 = 0 THEN 1 ELSE 0 END")} AS ticket, CASE WHEN k0 % 4 = 2 THEN 'DENY' ELSE 'ALLOW' END AS choice
+  FROM tried WHERE k = 1 OR k = 2 AND k0 % 3 = 0 OR k = 3 AND k0 % 5 = 0),
+judged AS (SELECT seq, ts, ticket, choice, CASE WHEN k0 % 7 = 0 OR k0 % 11 = 0 THEN 'unknown ticket' WHEN k = 3 THEN 'expired ticket' WHEN k = 2 THEN 'replay blocked'
+  WHEN choice = 'ALLOW' THEN 'user allowed' ELSE 'user blocked' END AS reason FROM uses),
+answered AS (SELECT *, CASE WHEN reason = 'user allowed' THEN 'ALLOW' ELSE 'DENY' END AS decision FROM judged)"""
+
 ORACLE_SQL: dict[str, str] = {
     "scan_findings": f"WITH {_DOCS}, cut AS (SELECT doc_id, substr(msg, 1, 6000) AS t FROM docs) SELECT doc_id, {_FINDINGS} AS findings, {_N_FINDINGS} AS n_findings FROM cut",
     "scan_findings_conversations": f"WITH {_MESSAGES}, cut AS (SELECT msg_id, substr(msg, 1, 6000) AS t FROM messages) SELECT msg_id, {_FINDINGS} AS findings, {_N_FINDINGS} AS n_findings FROM cut",
@@ -163,4 +183,16 @@ SELECT tool, event_id, coalesce(tier, 'High') AS tier, reason FROM t LEFT JOIN p
     "stream_scan": f"WITH {_DOCS}, {_sender('docs', 'doc_id')} SELECT doc_id, findings, score, label FROM sent",
     "stream_tickets": f"WITH {_TICKETS} SELECT seq, ticket, choice, decision, reason FROM decided",
     "stream_stats": f"WITH {_LOG} {_counts('log')}",
+    "feed_json": f"""WITH {_LOG} SELECT (row_number() OVER (ORDER BY ts DESC, seq DESC) - 1)::INT AS pos, epoch_us(ts) // 1000 AS ts_ms, kind, ticket, risk::VARCHAR AS risk, preflight, decision, reason, choice,
+secrets::VARCHAR AS secrets, message, port::VARCHAR AS port FROM feed""",
+    "user_counters": f"""WITH {_LOG}, l AS (SELECT *, split_part(ticket, '-', 1) AS "user" FROM log),
+a AS (SELECT "user", count(*) FILTER (secrets > 0) AS secrets_caught FROM l WHERE kind = 'DECIDE' GROUP BY ALL)
+SELECT "user", secrets_caught, count(*) FILTER (kind = 'CONSUME') AS total, count(*) FILTER (decision = 'ALLOW') AS allowed, count(*) FILTER (decision = 'DENY') AS denied,
+count(*) FILTER (reason = 'replay blocked') AS replay_blocked FROM a JOIN l USING ("user") GROUP BY ALL""",
+    "ticket_meta": f"""WITH {_REQUESTS} SELECT seq, ticket, {_case("k0 % 3", ("chatgpt", "claude", "web"))} AS product, {_case("k0 % 3", ("chatgpt.com", "claude.ai", "example.org"))} AS host,
+'chat.send' AS action, length, risk, preflight, reason FROM asked""",
+    "meta_agreement": f"""WITH {_REQUESTS} SELECT (k0 % 100)::INT AS score, risk, count(*) AS n, (k0 % 100 >= 85) = (risk >= 85) AS agree FROM asked GROUP BY ALL""",
+    "request_to_audit": f"""WITH {_REQUESTS} SELECT ts, seq, 'DECIDE' AS kind, ticket, risk::VARCHAR AS risk, preflight, reason, {_N_FINDINGS}::VARCHAR AS secrets, NULL AS decision, NULL AS choice, NULL AS message, NULL AS port FROM asked
+UNION ALL SELECT ts, seq, 'CONSUME', ticket, NULL, NULL, reason, NULL, decision, choice, NULL, NULL FROM answered""",
+    "stream_requests": f"WITH {_REQUESTS} SELECT seq, ticket, choice, decision, reason FROM answered",
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,12 +10,12 @@ from pyspark.sql import functions as F
 
 from airlock.functions import catalog as c
 from airlock.functions import risk, scan, text
-from airlock.operators import audit, metrics, pages, tickets
+from airlock.operators import audit, metrics, pages, service, tickets
 from airlock.plans import fixtures
 from airlock.sources import requests
-from airlock.sources.tables import append_stream, stream, table
+from airlock.sources.tables import append, append_stream, shared_dir, stream, table
 from airlock.streaming.messages import counters_stream, scan_stream
-from airlock.streaming.tickets import PROVIDER, decide_stream
+from airlock.streaming.tickets import ANSWERS, answer_stream, read_answers
 
 
 def _cut(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,6 +28,12 @@ def _scored(df: DataFrame, keys: list[str]) -> DataFrame:
     return measured.withColumn("score", risk.message_score(F.col("length"), scan.any_finding(F.col("t")))).withColumn("label", risk.label(F.col("score")))
 
 
+def _found(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, t, the findings as a text, and score and label, for which the patterns aren't tried again."""
+    found = _cut(df, keys).withColumn("findings", scan.findings_text(F.col("t")))
+    return found.withColumn("score", risk.message_score(text.measured(F.col("t")), F.col("findings") != "")).withColumn("label", risk.label(F.col("score")))
+
+
 def scan_findings(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("t")
     return _cut(fixtures.documents(spark, d), ["doc_id"]).select("doc_id", scan.findings_text(t).alias("findings"), scan.findings_count(t).alias("n_findings"))
@@ -44,9 +49,9 @@ def scan_exploded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_pattern_counts(spark: SparkSession, d: str) -> DataFrame:
-    scored = _scored(fixtures.documents(spark, d), ["doc_id"])
+    scored = _found(fixtures.documents(spark, d), ["doc_id"])
     product = fixtures.pick(F.col("doc_id") % 3, ("chatgpt", "claude", "web"))
-    return metrics.incidence(scored.select(product.alias("product"), "label", scan.findings(F.col("t")).alias("findings")))
+    return metrics.incidence(scored.select(product.alias("product"), "label", F.filter(F.split("findings", ", "), lambda x: x != "").alias("findings")))
 
 
 def marker_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -68,9 +73,9 @@ def risk_full_text_service(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alert_texts(spark: SparkSession, d: str) -> DataFrame:
-    scored = _scored(fixtures.documents(spark, d), ["doc_id"]).withColumn("prompt", F.substring("t", 1, c.PROMPT_CHARS))
+    scored = _found(fixtures.documents(spark, d), ["doc_id"]).withColumn("prompt", F.substring("t", 1, c.PROMPT_CHARS))
     product = fixtures.pick(F.col("doc_id") % 3, ("chatgpt", "claude", "web"))
-    texts = risk.prompt_texts(scan.findings_text(F.col("t")), F.col("label"), F.col("prompt"), product)
+    texts = risk.prompt_texts(F.col("findings"), F.col("label"), F.col("prompt"), product)
     return scored.select("doc_id", *(x.alias(n) for n, x in texts.items()), text.shown(F.col("prompt")).alias("shown"))
 
 
@@ -196,7 +201,8 @@ def audit_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feed_json(spark: SparkSession, d: str) -> DataFrame:
-    return audit.feed(fixtures.audit_log(spark, d)).select("seq", audit.as_json().alias("event"))
+    """The feed as one JSON array, read back."""
+    return _written(audit.feed_events(audit.feed_json(audit.feed(fixtures.audit_log(spark, d)))))
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:
@@ -225,13 +231,62 @@ def policy_join(spark: SparkSession, d: str) -> DataFrame:
     return tickets.with_policy(table(spark, d, "events").select("event_id", tool.alias("tool")), policy)
 
 
+def user_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of every user who has asked for a ticket; one without any use has none yet, shown as 0."""
+    log = fixtures.audit_log(spark, d).withColumn("user", F.substring_index("ticket", "-", 1))
+    asked = log.where("kind = 'DECIDE'").groupBy("user").agg(F.count_if(F.col("secrets") > 0).alias("secrets_caught"))
+    used = log.where("kind = 'CONSUME'").groupBy("user").agg(*metrics.counts())
+    return metrics.displayed(asked.join(used, "user", "left"))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/airlock-{name}-{uuid.uuid4().hex}"
+
+
+def _request_files(spark: SparkSession, d: str) -> str:
+    """The request log as text files in the shared folder. A stream takes files as they were finished,
+    so what belongs to one message is in one file."""
+    path = _scratch(spark, "requests")
+    number = F.get_json_object("value", "$.seq").cast("long")
+    fixtures.request_log(spark, d).repartitionByRange(4, F.floor(number / 4)).sortWithinPartitions(number).write.text(path)
+    return path
+
+
+def _ticket_life():
+    return F.expr(f"INTERVAL '{c.TICKET_MS // 1000}' SECOND")
+
+
+def ticket_meta(spark: SparkSession, d: str) -> DataFrame:
+    issued = service.issued_tickets(requests.read_requests(spark, _request_files(spark, d)))
+    return issued.select("seq", "ticket", "meta.product", "meta.host", "meta.action", F.get_json_object("meta.meta", "$.length").cast("int").alias("length"), "meta.risk", "meta.preflight", "meta.reason")
+
+
+def meta_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Sender's and service's score, both as the tickets remember them."""
+    issued = service.issued_tickets(requests.read_requests(spark, _request_files(spark, d)))
+    sender = F.get_json_object("meta.meta", "$.risk").cast("int")
+    return metrics.agreement(issued.select(sender.alias("score"), F.col("meta.risk").alias("risk")))
+
+
+def request_to_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Request files to the audit table, and the table read back."""
+    path = _scratch(spark, "audit")
+    append(service.served(requests.read_requests(spark, _request_files(spark, d)), _ticket_life()), path)
+    return _written(spark.read.parquet(path)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def stream_requests(spark: SparkSession, d: str) -> DataFrame:
+    """The same request files as a stream of several batches: the answers to all uses."""
+    path, lines = _scratch(spark, "answers"), requests.stream_requests(spark, _request_files(spark, d), files_per_batch=1)
+    answer_stream(service.protocol_rows(lines), path, f"{path}/checkpoint").awaitTermination()
+    return read_answers(spark, path).select("seq", "ticket", "choice", "decision", "reason")
+
+
 def _streamed(df: DataFrame, name: str) -> DataFrame:
     """All that a stream gives for the input that is there, by way of a table in the shared folder."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    path = f"{shared.rstrip('/')}/airlock-{name}-{uuid.uuid4().hex}"
+    path = _scratch(df.sparkSession, name)
     append_stream(df, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{path}/rows")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
 
 
 def stream_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -239,27 +294,24 @@ def stream_scan(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(scan_stream(said, ["doc_id"], "msg"), "scan")
 
 
-def _ticket_stream(spark: SparkSession, d: str) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    events = stream(spark, d, "events")
-    named = fixtures._ticketed(events).withColumn("is_use", ~F.col("event_type").isin("view", "signup"))
+def _answered(spark: SparkSession, d: str) -> str:
+    """Where the answers to all uses in the stream of events are."""
+    named = fixtures._ticketed(stream(spark, d, "events")).withColumn("is_use", ~F.col("event_type").isin("view", "signup"))
     choice = F.when(F.col("is_use"), F.when(F.col("event_type") == "purchase", "ALLOW").otherwise("DENY"))
     rows = named.select("ticket", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "is_use", choice.alias("choice"))
-    ttl_ms = fixtures.TTL_HOURS * 3_600_000
-    return decide_stream(rows, ttl_ms, retention_ms=8 * ttl_ms)
+    ttl_ms, path = fixtures.TTL_HOURS * 3_600_000, _scratch(spark, "tickets")
+    answer_stream(rows, path, f"{path}/checkpoint", ttl_ms, retention_ms=8 * ttl_ms).awaitTermination()
+    return path
 
 
 def stream_tickets(spark: SparkSession, d: str) -> DataFrame:
-    return _streamed(_ticket_stream(spark, d), "tickets").select("seq", "ticket", "choice", "decision", "reason")
+    return read_answers(spark, _answered(spark, d)).select("seq", "ticket", "choice", "decision", "reason")
 
 
 def stream_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of the stream of answers, kept running."""
     name = f"stats_{uuid.uuid4().hex}"
-    decided = _ticket_stream(spark, d)
-    path = f"{tempfile.mkdtemp(prefix='spark-')}" if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/airlock-{name}"
-    answers = append_stream(decided, f"{path}/rows", f"{path}/checkpoint")
-    answers.awaitTermination()
-    told = spark.readStream.schema(decided.schema).parquet(f"{path}/rows")
+    told = spark.readStream.schema(f"{ANSWERS}, batch long").parquet(f"{_answered(spark, d)}/answers")
     counted = counters_stream(told).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     counted.awaitTermination()
     return spark.table(name)
@@ -272,7 +324,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         risk_full_text_service, alert_texts, score_label_counts, agreement_matrix, product_of_host, protected_pages, badge_pages,
         send_clicks, compose_choice, base_url_norm, ticket_shape, _decide_requests, secrets_caught, request_intake, request_rejects,
         ticket_decisions, ticket_answers, released_actions, offline_denied, abandoned_tickets, bypass_clicks, audit_log, audit_feed, audit_lines,
-        feed_json, stats, dashboard_metrics, feed_vs_counters, running_counters, feed_depth, policy_join, stream_scan, stream_tickets,
+        feed_json, user_counters, ticket_meta, meta_agreement, request_to_audit, stream_requests, stats, dashboard_metrics, feed_vs_counters, running_counters, feed_depth, policy_join, stream_scan, stream_tickets,
         stream_stats,
     )
 }

@@ -1,18 +1,47 @@
 """Requests as lines of JSON: decide requests, uses of tickets, and what is rejected.
 
-A line must be JSON; nothing else is checked. A field that is missing or has another type than
-expected counts as its default. Of repeated keys the last counts.
+Requests arrive as text files. Each line is an envelope that the service's front end wrote: when the
+request arrived (ts_ms), its number (seq), the endpoint, and the body as it came. A body must be
+JSON; nothing else is checked. A field that is missing or has another type than expected counts as
+its default. Of repeated keys the last counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlock.functions import catalog
 from airlock.functions.risk import service_columns
 
 
+ENVELOPE = "ts_ms long, seq long, endpoint string, line string"
+DECIDE, CONSUME = "decide", "consume"
+
+
+def _opened(lines: DataFrame) -> DataFrame:
+    read = lines.select(F.from_json("value", ENVELOPE).alias("e")).select("e.*")
+    return read.select(F.timestamp_millis("ts_ms").alias("ts"), "seq", "endpoint", "line")
+
+
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    """(ts, seq, endpoint, line) of every request in the text files under a path."""
+    return _opened(spark.read.text(path))
+
+
+def stream_requests(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """The same as a stream of the files."""
+    reader = spark.readStream
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return _opened(reader.text(path))
+
+
+def envelope(ts_ms: Column, seq: Column, endpoint: str, line: Column) -> Column:
+    """A request as a line that read_requests reads."""
+    return F.to_json(F.struct(ts_ms.alias("ts_ms"), seq.alias("seq"), F.lit(endpoint).alias("endpoint"), line.alias("line")))
+
+
 def parsed(lines: DataFrame, line: str = "line") -> DataFrame:
     """lines with `v`, a variant, null where the line is not JSON."""
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
@@ -58,6 +87,19 @@ def use_fields(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*keep, string_at(F.col("v"), "$.ticket", "").alias("ticket"), normal_choice(string_at(F.col("v"), "$.choice", "DENY")).alias("choice"))
 
 
+def ticket_meta(v: Column, risk: Column, preflight: Column, reason: Column) -> Column:
+    """What a ticket remembers of its request: the request's own fields, as they came, with the
+    service's risk, preflight and reason. A field that is no string is null."""
+    text = lambda path: F.when(F.schema_of_variant(_inner(v, path)) == "STRING", F.try_variant_get(v, path, "string"))
+    sent = F.to_json(_inner(v, "$.meta"))
+    return F.struct(text("$.product").alias("product"), text("$.host").alias("host"), text("$.action").alias("action"), sent.alias("meta"), risk.alias("risk"), preflight.alias("preflight"), reason.alias("reason"))
+
+
+def client_risk(v: Column) -> Column:
+    """The sender's own score, null if it is no number."""
+    return F.try_variant_get(v, "$.meta.risk", "int")
+
+
 def ticket_id(*parts: Column) -> Column:
     """An id in the shape of a UUID that a replay of the same rows gives again."""
     h = F.md5(F.concat_ws(":", *(p.cast("string") for p in parts)))

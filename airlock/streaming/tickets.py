@@ -1,80 +1,74 @@
-"""Tickets on a live stream: one state for each ticket, one answer for each use."""
+"""Tickets on a live stream: each use is answered once, by what is known when it comes.
 
-from __future__ import annotations
+Every micro-batch is one join of its rows with a table of the tickets that are still remembered.
+The batch writes its answers and the next table under its own number, so a batch that is run again
+after a failure overwrites what it wrote, and its answers stay the same. No row passes through
+Python.
+"""
 
-from collections.abc import Iterator
-from typing import Any
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from airlock.functions import catalog as c
+from airlock.operators.tickets import decide_uses
 
-OUTPUT = "ticket string, ts timestamp, seq long, choice string, decision string, reason string"
 #: How long a used or expired ticket is remembered. Later uses of it are unknown instead of expired.
 RETENTION_MS = 10 * c.TICKET_MS
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def _answers(rows: list[tuple]) -> pd.DataFrame:
-    columns = list(zip(*rows, strict=True)) or [()] * 6
-    kinds = (object, "datetime64[ns]", "int64", object, object, object)
-    return pd.DataFrame({n: pd.Series(list(x), dtype=k) for n, x, k in zip(("ticket", "ts", "seq", "choice", "decision", "reason"), columns, kinds, strict=True)})
-
-
-class TicketProcessor(StatefulProcessor):
-    """A decide row issues its ticket once; a use is answered at once, by what is known when it comes."""
-
-    def __init__(self, ttl_ms: int = c.TICKET_MS, retention_ms: int = RETENTION_MS) -> None:
-        self.ttl_ms, self.retention_ms = ttl_ms, retention_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.ticket = handle.getValueState("ticket", "issued long, used boolean")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "is_use", "seq"], kind="stable")
-        issued, used = self.ticket.get() if self.ticket.exists() else (None, False)
-        answers = []
-        for ts, is_use, seq, choice in zip(batch["ts"], batch["is_use"], batch["seq"], batch["choice"], strict=True):
-            now = ts.value // 1000  # microseconds
-            if not is_use:
-                if issued is None:
-                    issued = now
-                    self.handle.registerTimer((now // 1000) + self.ttl_ms + self.retention_ms)
-                continue
-            if issued is None:
-                reason = c.UNKNOWN
-            elif now > issued + self.ttl_ms * 1000:
-                reason = c.EXPIRED
-            elif used:
-                reason = c.REPLAY
-            else:
-                used, reason = True, c.ALLOWED if choice == "ALLOW" else c.BLOCKED
-            answers.append((key[0], ts, seq, choice, "ALLOW" if reason == c.ALLOWED else "DENY", reason))
-        if issued is not None:
-            self.ticket.update((issued, used))
-        yield _answers(answers)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.ticket.clear()
-        yield _answers([])
-
-    def close(self) -> None:
-        pass
-
-
-def decide_stream(rows: DataFrame, ttl_ms: int = c.TICKET_MS, retention_ms: int = RETENTION_MS, lateness: str | None = None) -> DataFrame:
-    """Answers to the uses in a stream of (ticket, ts timestamp, seq, is_use, choice).
-
-    Within a micro-batch a ticket's rows are taken in the order of ts, decides before uses, seq. A
-    use that comes in an earlier batch than its decide is unknown. `lateness` is how far rows may be
-    behind; it is the retention unless given.
+#: Columns of answers, besides the batch that gave them.
+ANSWERS = "ticket string, ts timestamp, seq long, choice string, decision string, reason string"
+_STATE = "ticket string, issued timestamp, used boolean"
+
+
+def _interval(ms: int):
+    return F.expr(f"INTERVAL '{ms / 1000}' SECOND")
+
+
+def answer_batch(rows: DataFrame, state: DataFrame, ttl_ms: int, retention_ms: int, lateness_ms: int) -> tuple[DataFrame, DataFrame]:
+    """The answers to a micro-batch's uses, and the state after it.
+
+    Within a batch a ticket's rows are taken in the order of ts, decides before uses, seq. A use that
+    comes in an earlier batch than its decide is unknown. In the state, the row without a ticket
+    holds the latest time seen; tickets are forgotten when that is `lateness_ms` past the end of
+    their retention.
+    """
+    known = state.where("ticket is not null")
+    new = rows.where(~F.col("is_use")).groupBy("ticket").agg(F.min("ts").alias("asked"))
+    tickets = known.withColumn("before", F.lit(True)).join(new, "ticket", "full")
+    tickets = tickets.select("ticket", F.coalesce("issued", "asked").alias("issued"), F.coalesce("used", F.lit(False)).alias("used"), F.coalesce("before", F.lit(False)).alias("before"))
+    uses = rows.where("is_use").select("ticket", "ts", "seq", "choice")
+    answers = decide_uses(tickets, uses, _interval(ttl_ms)).select("ticket", "ts", "seq", "choice", "decision", "reason")
+    now_used = answers.where(F.col("reason").isin(c.ALLOWED, c.BLOCKED)).select("ticket", F.lit(True).alias("now"))
+    latest = rows.select("ts").union(state.where("ticket is null").select("issued")).agg(F.max("ts").alias("latest"))
+    kept = tickets.join(now_used, "ticket", "left").select("ticket", "issued", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"))
+    kept = kept.join(F.broadcast(latest)).where(F.col("issued") + _interval(ttl_ms + retention_ms + lateness_ms) > F.col("latest")).drop("latest")  # one row
+    return answers, kept.union(latest.select(F.lit(None).cast("string"), "latest", F.lit(False)))
+
+
+def answer_stream(rows: DataFrame, path: str, checkpoint: str, ttl_ms: int = c.TICKET_MS, retention_ms: int = RETENTION_MS, lateness_ms: int | None = None, every: str | None = None) -> StreamingQuery:
+    """Answers the uses in a stream of (ticket, ts timestamp, seq, is_use, choice) under path/answers.
+
+    Every use is answered, however late. `lateness_ms` is the retention unless given. `every` is an
+    interval between batches such as "2 seconds"; without it, what is there now is read. The tables
+    of remembered tickets are under path/state; the last two are kept.
     """
-    late = lateness or f"{retention_ms} milliseconds"
-    return (
-        rows.withWatermark("ts", late)
-        .groupBy("ticket")
-        .transformWithStateInPandas(TicketProcessor(ttl_ms, retention_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
-    )
+    late = retention_ms if lateness_ms is None else lateness_ms
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        state = spark.read.schema(_STATE).parquet(f"{path}/state/{number - 1}") if number else spark.createDataFrame([], _STATE)
+        answers, after = answer_batch(batch, state, ttl_ms, retention_ms, late)
+        after.write.mode("overwrite").parquet(f"{path}/state/{number}")
+        answers.write.mode("overwrite").parquet(f"{path}/answers/batch={number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/state/{number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    writer = rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def read_answers(spark, path: str) -> DataFrame:
+    return spark.read.schema(f"{ANSWERS}, batch long").parquet(f"{path}/answers")
