@@ -2,14 +2,18 @@
 
 Vectors are held in blocks of consecutive ids: a forward index of the block's vectors and, for each
 component ("term"), its greatest and least value. A query's score with any vector of a block is at
-most the sum over components of what the extreme value can add. Each query visits blocks in the
-order of that bound and stops when the bound falls below its k-th score so far. Queries travel in
-chunks, blocks in parts; every (chunk, part) pair is one bounded task, and a first pass over one
-part for each chunk gives the scores that let the other parts skip blocks.
+most the sum over components of what the extreme value can add. Queries travel in chunks.
+
+Bounds come first, from the blocks' extremes alone. Each query's block of the highest bound is
+scored, which gives it a k-th score; then only the blocks whose bound reaches that score for some
+query of a chunk are sent to the chunk. There, each query visits blocks in the order of their bounds
+and stops when the bound falls below its k-th score so far.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,11 +23,18 @@ from airlock.llm.store import written
 
 SCALE = 1024
 BLOCK_ROWS = 1024
+#: Blocks that a task scores at a time, at most; with few blocks, so few that all cores have work.
 PART_BLOCKS = 32
+#: Blocks whose extremes are compared with a chunk of queries at a time.
+BOUND_BLOCKS = 4096
 CHUNK_QUERIES = 1024
 _RESULT = "query_id long, vec_id long, score long"
 
 
+def _dims(*columns: tuple[pa.Table, str]) -> int:
+    return max(int(t.column(c).combine_chunks().value_lengths().to_numpy(zero_copy_only=False).max(initial=0)) for t, c in columns)
+
+
 def _matrix(table: pa.Table, name: str, dims: int) -> np.ndarray:
     """Rows of an array column as exact integers; short rows are filled with zeros."""
     column = table.column(name).combine_chunks()
@@ -41,6 +52,11 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
+def _bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """What each query's score with a vector between `low` and `high` is at most, for each of these."""
+    return _product(np.maximum(queries, 0), high) + _product(np.minimum(queries, 0), low)
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k columns of each row with the highest scores, ties to smaller ids."""
     by_id = np.argsort(ids, axis=1, kind="stable")
@@ -59,7 +75,7 @@ def search_part(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, r
     last = np.append(first[1:], len(blocks))
     high = np.maximum.reduceat(rows, first, axis=0)
     low = np.minimum.reduceat(rows, first, axis=0)
-    bound = _product(np.maximum(queries, 0), high) + _product(np.minimum(queries, 0), low)
+    bound = _bounds(queries, high, low)
     order = np.argsort(-bound, axis=1, kind="stable")
     scores = np.full((len(queries), k), _NONE)
     found = np.full((len(queries), k), np.iinfo(np.int64).max)
@@ -94,34 +110,65 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     number = F.transform("_x", lambda v: F.floor(v.cast("double") * SCALE).cast("long"))
     block = F.floor(F.col("_id") / BLOCK_ROWS)
     flags = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), is_query.alias("_q")).where("_q").distinct()
-    table = written(clean.select("_id", number.alias("_x"), block.alias("_block"), F.floor(block / PART_BLOCKS).alias("_part")), "vectors")
+    table = written(clean.select("_id", number.alias("_x"), block.alias("_block")), "vectors")
     asked = table.join(flags, "_id", "left_semi").select(F.col("_id").alias("_qid"), F.col("_x").alias("_qx"))
     chunks = -(-asked.count() // CHUNK_QUERIES)
     if chunks == 0:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    asked = written(asked.withColumn("_chunk", F.pmod(F.xxhash64("_qid"), F.lit(chunks))), "queries")
-    parts = written(table.select("_part").distinct().withColumn("_turn", F.row_number().over(Window.orderBy("_part")) - 1), "parts")
-    pairs = parts.crossJoin(asked.select("_chunk").distinct())
-    first = F.col("_turn") == F.pmod(F.col("_chunk"), F.lit(parts.count()))
+    asked = written(asked.withColumn("_chunk", F.pmod(F.xxhash64("_qid"), F.lit(chunks))).withColumn("_floor", F.lit(_NONE)), "queries", small=True)
+
+    def extremes_of(rows: pa.Table) -> pa.Table:
+        dims = _dims((rows, "_x"))
+        x = _matrix(rows, "_x", dims).astype(np.int64)
+        return pa.table({"_block": rows.column("_block").slice(0, 1), "high": pa.array([x.max(0).tolist()], pa.list_(pa.int64())), "low": pa.array([x.min(0).tolist()], pa.list_(pa.int64())), "dims": pa.array([dims], pa.int64())})
+
+    extremes = written(table.groupBy("_block").applyInArrow(extremes_of, "_block long, high array<long>, low array<long>, dims long"), "extremes")
+    blocks, widest = extremes.agg(F.count("*"), F.max("dims")).first()
+    groups = -(-blocks // BOUND_BLOCKS)
+    size = max(1, min(PART_BLOCKS, blocks // (3 * vectors.sparkSession.sparkContext.defaultParallelism)))
+    extremes = extremes.select("_block", "high", "low", F.pmod(F.xxhash64("_block"), F.lit(groups)).alias("_group"))
+    places = asked.select("_chunk").distinct().withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+
+    def admit(first: bool) -> Callable:
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            """The blocks that a chunk needs: each query's with the highest bound, or all that reach its floor."""
+            out = {"_chunk": pa.array([], pa.int64()), "_block": pa.array([], pa.int64())}
+            if left.num_rows and right.num_rows:
+                bound = _bounds(_matrix(right, "_qx", max(1, widest)), _matrix(left, "high", max(1, widest)), _matrix(left, "low", max(1, widest)))
+                need = np.unique(bound.argmax(1)) if first else np.flatnonzero((bound >= right.column("_floor").to_numpy()[:, None]).any(0))
+                out = {"_chunk": pa.array(np.full(need.size, right.column("_from")[0].as_py())), "_block": left.column("_block").combine_chunks().take(pa.array(need))}
+            return pa.table(out)
+
+        return run
+
+    def needed(queries: DataFrame, first: bool) -> DataFrame:
+        rows = places.join(extremes, "_group")
+        calls = places.join(queries, "_chunk").select(F.col("_group").alias("_to"), F.col("_chunk").alias("_from"), "_qx", "_floor")
+        return rows.groupBy("_group", "_chunk").cogroup(calls.groupBy("_to", "_from")).applyInArrow(admit(first), "_chunk long, _block long")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         if not left.num_rows or not right.num_rows:
             return none
         left = left.sort_by("_id")
-        dims = max(int(t.column(c).combine_chunks().value_lengths().to_numpy(zero_copy_only=False).max(initial=0)) for t, c in ((left, "_x"), (right, "_qx")))
-        query_ids = right.column("_qid").to_numpy()
-        scores, ids, _ = search_part(_matrix(right, "_qx", dims), query_ids, right.column("_floor").to_numpy(), _matrix(left, "_x", dims), left.column("_id").to_numpy(), left.column("_block").to_numpy(), k)
-        keep = (scores != _NONE) & (scores >= right.column("_floor").to_numpy()[:, None])
+        dims = _dims((left, "_x"), (right, "_qx"))
+        query_ids, floor = right.column("_qid").to_numpy(), right.column("_floor").to_numpy()
+        scores, ids, _ = search_part(_matrix(right, "_qx", dims), query_ids, floor, _matrix(left, "_x", dims), left.column("_id").to_numpy(), left.column("_block").to_numpy(), k)
+        keep = (scores != _NONE) & (scores >= floor[:, None])
         return pa.table({"query_id": np.repeat(query_ids, keep.sum(1)), "vec_id": ids[keep], "score": scores[keep]})
 
     def scored(which: DataFrame, queries: DataFrame) -> DataFrame:
-        rows = which.join(table, "_part").select("_part", "_chunk", "_id", "_x", "_block")
-        calls = which.join(queries, "_chunk").select(F.col("_part").alias("_to"), F.col("_chunk").alias("_from"), "_qid", "_qx", "_floor")
+        """Results of the (chunk, block) pairs `which`; only the vectors of these blocks are sent."""
+        part = F.floor(F.col("_block") / size)
+        rows = which.join(table, "_block").select(part.alias("_part"), "_chunk", "_id", "_x", "_block")
+        calls = which.select(part.alias("_to"), F.col("_chunk").alias("_from")).distinct().join(queries.withColumnRenamed("_chunk", "_from"), "_from").select("_to", "_from", "_qid", "_qx", "_floor")
         return rows.groupBy("_part", "_chunk").cogroup(calls.groupBy("_to", "_from")).applyInArrow(search, _RESULT)
 
-    seen = written(scored(pairs.where(first), asked.withColumn("_floor", F.lit(_NONE))), "seen")
-    kth = seen.groupBy(F.col("query_id").alias("_qid")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(_NONE)).alias("_floor"))
-    rest = scored(pairs.where(~first), asked.join(kth, "_qid", "left").withColumn("_floor", F.coalesce("_floor", F.lit(_NONE))))
+    ahead = written(needed(asked, first=True), "ahead")
+    seen = written(scored(ahead, asked), "seen")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return seen.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    kth = ranked(seen).groupBy(F.col("query_id").alias("_qid")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(_NONE)).alias("_kth"))
+    floored = asked.join(kth, "_qid", "left").withColumn("_floor", F.coalesce("_kth", F.lit(_NONE))).drop("_kth")
+    rest = written(needed(floored, first=False).join(ahead, ["_chunk", "_block"], "left_anti"), "rest")
+    return ranked(seen.unionByName(scored(rest, floored))).select("query_id", "rank", "vec_id", "score")
