@@ -236,9 +236,9 @@ class NgramJoin:
         members = label.join(nodes.groupBy("node").agg(F.sum("size").alias("size")), "node")
         large = members.groupBy("label").agg(F.count("*").alias("k"), F.sum("size").alias("size")).where("k > 2")
         blocks = F.ceil(F.greatest(F.col("k") / BLOCK_SETS, F.col("size") / BLOCK_SHINGLES)).cast("int")
-        large = written(large.select("label", blocks.alias("blocks")), f"{name}-labels")
+        large = written(large.select("label", blocks.alias("blocks")), f"{name}-labels", small=True)
         placed = label.join(F.broadcast(large) if large.count() <= BROADCAST_IDS else large, "label")
-        placed = written(placed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), f"{name}-placed")
+        placed = written(placed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), f"{name}-placed", small=True)
         made = self._arrays(placed.select("node"), f"{name}-arrays")
         arrays = made.join(nodes.select("node", "a"), ["node", "a"], "left_semi")
         if not made.groupBy("node", "a").count().where("count > 1").isEmpty():
@@ -366,13 +366,13 @@ def least_reachable(links: DataFrame, name: str) -> DataFrame:
     each round is written, and the rounds end when no label changes.
     """
     both = links.select(F.col("x").alias("node"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("node"), F.col("x").alias("other")))
-    both = written(both.distinct(), f"{name}-edges")
-    label = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), name)
+    both = written(both.distinct(), f"{name}-edges", small=True)
+    label = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), name, small=True)
     while True:
         heard = both.join(label.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("heard"))
         new = label.join(heard, "node").select("node", F.least("label", "heard").alias("next"), F.col("label").alias("old"))
         jump = label.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        new = written(new.join(jump, "next", "left").select("node", F.least("next", "far").alias("label"), "old"), name)
+        new = written(new.join(jump, "next", "left").select("node", F.least("next", "far").alias("label"), "old"), name, small=True)
         discard(label)
         label = new.select("node", "label")
         if new.where("label <> old").isEmpty():

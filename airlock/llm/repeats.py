@@ -262,7 +262,7 @@ def late_windows(docs: DataFrame, runs: DataFrame, symbols: Callable, window: in
     discard(rows)
     windows = told.where("not late").drop("late")
     least = windows.groupBy("h", "g").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")).where("first < last")
-    least = written(least.select("h", "g", "first"), f"{name}-least")
+    least = written(least.select("h", "g", "first"), f"{name}-least", small=True)
     small = least.count() <= BROADCAST_RUNS
     rest = windows.join(F.broadcast(least) if small else least, ["h", "g"]).where("_doc > first")
     late = told.where("late").select("_doc", "_t", "start", F.col("h").alias("count"))

@@ -126,7 +126,7 @@ def _repeated(docs: DataFrame, entries: DataFrame, length: int) -> DataFrame:
     place = F.struct("_doc", "_t", "start")
     found = None
     while True:
-        crowded = written(entries.groupBy("seed").agg(F.count("*").alias("n"), F.min(place).alias("f")).where(F.col("n") > SHARD_ENTRIES), "crowded")
+        crowded = written(entries.groupBy("seed").agg(F.count("*").alias("n"), F.min(place).alias("f")).where(F.col("n") > SHARD_ENTRIES), "crowded", small=True)
         many = crowded.count()
         if many:
             parts = F.ceil(F.col("n") / SHARD_ENTRIES).cast("int")
@@ -142,7 +142,7 @@ def _repeated(docs: DataFrame, entries: DataFrame, length: int) -> DataFrame:
         if not many:
             return found
         left = told.where("h is not null")
-        again = written(left.groupBy("h").agg(F.min("_doc").alias("a"), F.max("_doc").alias("b")).where("a < b").select("h"), "again")
+        again = written(left.groupBy("h").agg(F.min("_doc").alias("a"), F.max("_doc").alias("b")).where("a < b").select("h"), "again", small=True)
         n = again.count()
         if not n:
             return found
