@@ -23,6 +23,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SECOND = 0xD6E8FEB86659FD93 | 1
+#: A worker keeps powers up to this many; for a longer text they are made each time.
+_KEPT_POWERS = 1 << 21
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -88,7 +90,9 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, b, np.uint64)
             p[0] = 1
             made.append(np.cumprod(p, dtype=np.uint64))
-        up, down = _powers[base] = (made[0], made[1])
+        up, down = made
+        if size <= _KEPT_POWERS:
+            _powers[base] = (up, down)
     return up, down
 
 

@@ -29,9 +29,10 @@ from airlock.llm.store import discard, written
 #: Bits of the smallest bitmap; larger sets get at least as many bits as they have shingles.
 BITMAP_BITS = 1024
 _FOLDED = 4
-#: Slots in which shingles are counted to tell frequent from rare ones; only the order in which
-#: shingles are looked at depends on it.
-SLOT_BITS = 16
+#: Shingles are counted in slots to tell frequent from rare ones; only the order in which shingles
+#: are looked at depends on it. There are as many slots as keep a slot's share of all shingles near
+#: SLOT_SHINGLES, within these powers of two.
+SLOT_SHINGLES, SLOT_BITS = 1024, (16, 22)
 #: Ids that are broadcast to pick documents out; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 #: Bytes of bitmaps that are broadcast to the pairs they belong to; more are joined by a shuffle.
@@ -141,34 +142,38 @@ class NgramJoin:
         tagged = self.docs.select("_doc", F.xxhash64("_text").alias("t"), "_text")
         return tagged.mapInArrow(run, "_doc long, t long, size long, a long, b long, bitmap array<long>, " + ", ".join(f"{m} long" for m in folded))
 
-    def _slot_levels(self) -> np.ndarray:
-        """How many doublings above the common count each slot of shingles is."""
-        n = self.n
+    def _slot_levels(self, total: int) -> tuple[np.ndarray, int]:
+        """How many doublings above the common count each slot of shingles is, and the slots' bits;
+        `total` is the number of all shingles."""
+        n, bits = self.n, min(SLOT_BITS[1], max(SLOT_BITS[0], (total // SLOT_SHINGLES).bit_length()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(1 << SLOT_BITS, np.int64)
+            count = np.zeros(1 << bits, np.int32)
             for _, h, _ in _batches(batches, n):
-                total += np.bincount((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=total.size)
-            slot = np.flatnonzero(total)
-            yield pa.record_batch([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
-
-        counted = self.docs.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # at most 2 ** SLOT_BITS rows
-        total = np.zeros(1 << SLOT_BITS)
-        for r in counted:
-            total[r.slot] = r.n
-        return np.floor(np.log2(np.maximum(total / max(total.mean(), 1) / 2, 1))).astype(np.uint64)
-
-    def _postings(self) -> DataFrame:
+                at, times = np.unique((h >> np.uint64(64 - bits)).astype(np.int32), return_counts=True)
+                count[at] += times.astype(np.int32)
+            slot = np.flatnonzero(count)
+            for k in range(0, slot.size, 1 << 16):
+                part = slot[k : k + (1 << 16)]
+                yield pa.record_batch([pa.array(part), pa.array(count[part].astype(np.int64))], ["slot", "n"])
+
+        counted = self.docs.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # a row for each slot
+        count = np.zeros(1 << bits)
+        count[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+        return np.floor(np.log2(np.maximum(count / max(count.mean(), 1) / 2, 1))).astype(np.uint8), bits
+
+    def _postings(self, total: int) -> DataFrame:
         """(token, a, at): the first shingles of each set, of which similar sets share one; `at` is
         the set's size in the high half and the shingle's place, from 1, in the low half."""
-        n, percent, levels = self.n, self.percent, self._slot_levels()
+        n, percent = self.n, self.percent
+        levels, bits = self._slot_levels(total)
         shared = self.spark.sparkContext.broadcast(levels)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, h, edges in _batches(batches, n):
                 size = np.diff(edges)
                 row = np.repeat(np.arange(size.size), size)
-                level = shared.value[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                level = shared.value[(h >> np.uint64(64 - bits)).astype(np.int64)]
                 by = np.lexsort((mix(h.copy()), level, row))
                 first = np.where(size > 0, size - -(-size * percent // 100) + 1, 0)
                 pick = by[ranges(edges[:-1], first)]
@@ -306,7 +311,7 @@ class NgramJoin:
         sets = written(self.sets(), "sets")
         nodes = written(sets.where((F.col("size") > 0) & F.col("_doc").isNotNull()).groupBy("a", "b").agg(F.min("_doc").alias("node"), F.min("size").alias("size")), "nodes")
         stars, rest, star_label = self._links(sets, nodes)
-        label = least_reachable(stars.unionByName(rest), "component")
+        label = least_reachable(stars.unionByName(rest).unionByName(self._of_one_id(sets, nodes)), "component")
         known = nodes.select("a", "b", "node").join(label, "node", "left")
         if count_links:
             # Of a label with two nodes the star's link is the only one.
@@ -323,10 +328,18 @@ class NgramJoin:
         alone = lone.select("_doc", "t", "n_shingles", F.lit(0).cast("long").alias("n_links"), F.col("_doc").alias("component_id"))
         return found.unionByName(alone)
 
+    def _of_one_id(self, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Pairs (x, y) of nodes that rows of one id stand for; few, unless ids repeat."""
+        known = sets.where((F.col("size") > 0) & F.col("_doc").isNotNull()).select("_doc", "a", "b")
+        several = known.groupBy("_doc").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("_doc")
+        held = known.join(several, "_doc", "left_semi").join(nodes.select("a", "b", "node"), ["a", "b"]).select("_doc", "node").distinct()
+        first = held.groupBy("_doc").agg(F.min("node").alias("x"))
+        return written(held.join(first, "_doc").where("x < node").select("x", F.col("node").alias("y")).distinct(), "one-id", small=True)
+
     def _links(self, sets: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Links (x, y) of tiles' sets to their least ones, all links between the components of these,
         and these components as (node, label)."""
-        postings = self._postings()
+        postings = self._postings(int(sets.agg(F.sum("size")).first()[0] or 0))
         shared = postings.groupBy("token").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("token")
         step = -math.log(self.percent / 100)
         band = F.floor(F.log("size") / F.lit(step))

@@ -94,7 +94,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
     found = identify(docs.select("doc_id", "text"), train(docs, ~held_out()))
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from airlock.llm.suffix_array import permuted_prefixes, suffix_array
 LENGTH = 100
 SEED = 40
 #: Entries of one seed that a shard takes; those of a seed with more are dealt over several.
-SHARD_ENTRIES = 128
+SHARD_ENTRIES = 512
 SHARD_BYTES = 1 << 20
 _PLACE = "_doc long, _t int, start long, count long"
 
