@@ -30,12 +30,12 @@ def answer_batch(rows: DataFrame, state: DataFrame, ttl_ms: int, retention_ms: i
     """The answers to a micro-batch's uses, and the state after it.
 
     Within a batch a ticket's rows are taken in the order of ts, decides before uses, seq. A use that
-    comes in an earlier batch than its decide is unknown. In the state, the row without a ticket
+    comes in an earlier batch than its decide is unknown, and so is one without a ticket. In the state, the row without a ticket
     holds the latest time seen; tickets are forgotten when that is `lateness_ms` past the end of
     their retention.
     """
     known = state.where("ticket is not null")
-    new = rows.where(~F.col("is_use")).groupBy("ticket").agg(F.min("ts").alias("asked"))
+    new = rows.where(~F.col("is_use") & F.col("ticket").isNotNull()).groupBy("ticket").agg(F.min("ts").alias("asked"))
     tickets = known.withColumn("before", F.lit(True)).join(new, "ticket", "full")
     tickets = tickets.select("ticket", F.coalesce("issued", "asked").alias("issued"), F.coalesce("used", F.lit(False)).alias("used"), F.coalesce("before", F.lit(False)).alias("before"))
     uses = rows.where("is_use").select("ticket", "ts", "seq", "choice")

@@ -15,13 +15,13 @@ from airlock.streaming.tickets import answer_stream, read_answers
 
 SCHEMA = "ticket string, ts timestamp, seq long, is_use boolean, choice string"
 STEPS = [
-    [("a", 0, False), ("a", 10, True), ("b", 0, False), ("z", 5, True)],
+    [("a", 0, False), ("a", 10, True), ("b", 0, False), ("z", 5, True), (None, 0, False), (None, 1, True)],
     [("a", 20, True), ("a", 61, True), ("b", 60, True)],
     [("q", 5000, True)],
     [("a", 5001, True)],
 ]
 WANTED = [
-    {("a", "user allowed"), ("z", "unknown ticket")},
+    {("a", "user allowed"), ("z", "unknown ticket"), (None, "unknown ticket")},
     {("a", "replay blocked"), ("a", "expired ticket"), ("b", "user allowed")},
     {("q", "unknown ticket")},
     {("a", "unknown ticket")},
