@@ -18,6 +18,7 @@ HEADER, END, BREAK = "### ", "</turn>", "\n"
 #: What is escaped, in this order, and its escape. Each escape is a backslash and a letter of its
 #: own, and every backslash of a text is itself escaped, so undoing them in reverse order is exact.
 ESCAPES = (("\\", "\\s"), ("###", "\\h"), ("</turn>", "\\t"))
+_SPAN, _SOME_TURNS = "struct<start:bigint,length:bigint>", 64
 _ROLE_ONLY = (":", "\\c")
 
 
@@ -51,16 +52,23 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",),
         head = F.when(follows, F.lit("")).otherwise(opening)
         return F.struct(head.alias("head"), escape(x["_text"]).alias("body"), x["_role"].isin(*loss_roles).alias("loss"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    def starts_at(at: Column, kind: str) -> Column:
+        return F.struct(at.alias("at"), F.array().cast(kind).alias("spans"))
 
     def grow(state: Column, x: Column) -> Column:
         begin = state["at"] + F.length(x["head"])
         span = F.struct(begin.alias("start"), F.length(x["body"]).cast("long").alias("length"))
         return F.struct((begin + F.length(x["body"]) + len(END)).alias("at"), F.when(x["loss"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 
+    def grow_by(state: Column, some: Column) -> Column:
+        """Spans are gathered for some turns at a time: a list is copied whenever it grows."""
+        got = F.aggregate(some, starts_at(state["at"], f"array<{_SPAN}>"), grow)
+        return F.struct(got["at"].alias("at"), F.concat(state["spans"], F.array(got["spans"])).alias("spans"))
+
     cut = sorted_turns.withColumn("p", F.transform("t", piece))
     whole = F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
-    return cut.select(F.col("_conv").alias(conv), whole.alias("formatted"), F.aggregate("p", start, grow)["spans"].alias("loss_spans"))
+    by_some = F.transform(F.sequence(F.lit(1), F.size("p"), F.lit(_SOME_TURNS)), lambda i: F.slice("p", i, _SOME_TURNS))
+    return cut.select(F.col("_conv").alias(conv), whole.alias("formatted"), F.flatten(F.aggregate(by_some, starts_at(F.lit(0).cast("long"), f"array<array<{_SPAN}>>"), grow_by)["spans"]).alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:

@@ -433,9 +433,15 @@ def test_find_leaks_with_typographic_signs(spark):
     assert decontamination.without_leaks(df, bench).isEmpty()
 
 
-def test_ids_are_the_tokenizers():
+@pytest.mark.parametrize("store", [1 << 22, 10])
+def test_ids_are_the_tokenizers(monkeypatch, store):
+    """With a table that is kept, and with one that is started anew for every piece."""
     import pyarrow as pa
 
+    from airlock.llm import tokens
+
+    monkeypatch.setattr(tokens, "_STORE", store)
+
     rng = random.Random(1)
     parts = ["a", "B", "é", " ", "  ", "\n", "'s", "'", "'ll", "1", "23", "٣", "!", "#", "\t", " ", "it's", "'re", "日本", "😀", "<|endoftext|>", "\x1c", "'d"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(800)] + [None, "", "x" * 3000]
