@@ -36,7 +36,9 @@ SLOT_SHINGLES, SLOT_BITS = 1024, (16, 22)
 #: Ids that are broadcast to pick documents out; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 #: Bytes of bitmaps that are broadcast to the pairs they belong to; more are joined by a shuffle.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 16 << 20
+#: Sets of a tile that meet in one group; a larger tile is dealt into blocks, and every two of them meet.
+TILE_SETS = 4096
 #: Sets and shingles of a block of a component, about: two blocks at a time are compared by one group.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 19
 
@@ -352,20 +354,29 @@ class NgramJoin:
         tiles = tiles.withColumn("tile", F.explode(F.array(band, band + 1))).select("token", "tile", "node", "size", "place", *(f"m{k}" for k in range(_FOLDED)))
         tiles = written(tiles, "tiles")
 
-        least = tiles.groupBy("token", "tile").agg(F.min("node").alias("x")).alias("l")
-        stars = tiles.join(least, ["token", "tile"]).where("x < node").select("x", F.col("node").alias("y")).distinct()
+        tile = [F.col(f"t.{c}") == F.col(f"f.{c}") for c in ("token", "tile")]
+        least = tiles.groupBy("token", "tile").agg(F.min("node").alias("node"))
+        firsts = tiles.join(least, ["token", "tile", "node"]).alias("f")
+        differ = sum((F.bit_count(F.col(f"t.m{k}").bitwiseXOR(F.col(f"f.m{k}"))) for k in range(1, _FOLDED)), F.bit_count(F.col("t.m0").bitwiseXOR(F.col("f.m0"))))
+        fits = (F.col("f.node") < F.col("t.node")) & self._similar_size("t.size", "f.size") & self._few_differences("t.size", "f.size", differ)
+        stars = tiles.alias("t").join(firsts, [*tile, fits]).select(F.col("f.node").alias("x"), F.col("t.node").alias("y")).distinct()
         tried = self._possible(stars, maps, "stars")
         links = self._linked(tried, nodes, "star-links")
 
         label = least_reachable(links, "star-component")
         named = tiles.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        several = named.groupBy("token", "tile").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("token", "tile")
-        named = written(named.join(several, ["token", "tile"]), "open-tiles")
-        p, q = named.alias("p"), named.alias("q")
+        several = named.groupBy("token", "tile").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n")).where("l < m")
+        several = several.select("token", "tile", F.ceil(F.col("n") / TILE_SETS).cast("int").alias("blocks"))
+        block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+        named = written(named.join(several, ["token", "tile"]).withColumn("block", block), "open-tiles")
+        p = named.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).alias("p")
+        q = named.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block")))).alias("q")
         differ = sum((F.bit_count(F.col(f"p.m{k}").bitwiseXOR(F.col(f"q.m{k}"))) for k in range(1, _FOLDED)), F.bit_count(F.col("p.m0").bitwiseXOR(F.col("q.m0"))))
-        same_tile = (F.col("p.token") == F.col("q.token")) & (F.col("p.tile") == F.col("q.tile"))
-        fits = (F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label")) & self._early_enough("p", "q") & self._similar_size("p.size", "q.size") & self._few_differences("p.size", "q.size", differ)
-        rest = p.join(q, same_tile & fits).select(F.col("p.node").alias("x"), F.col("q.node").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
+        together = (F.col("p.token") == F.col("q.token")) & (F.col("p.tile") == F.col("q.tile")) & (F.col("p.i") == F.col("q.i")) & (F.col("p.j") == F.col("q.j"))
+        once = (F.col("p.i") < F.col("p.j")) | (F.col("p.node") < F.col("q.node"))
+        fits = once & (F.col("p.label") != F.col("q.label")) & self._early_enough("p", "q") & self._similar_size("p.size", "q.size") & self._few_differences("p.size", "q.size", differ)
+        met = p.join(q, together & fits).select(F.least("p.node", "q.node").alias("x"), F.greatest("p.node", "q.node").alias("y"))
+        rest = met.distinct().join(tried, ["x", "y"], "left_anti")
         rest = self._possible(rest, maps, "rest")
         for done in (named, tiles, maps, tried):
             discard(done)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from airlock.llm.flat import flat, pieces, prefix, ranges, span_hash
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
-_SLOT_BITS = 21
+_SLOT_BITS = 20
 #: Ids kept before a worker starts its table anew.
 _STORE = 1 << 22
 #: What follows an apostrophe in a token of its own: fixed values of this tokenizer's pattern.
