@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from airlock.sources.tables import shared_dir
 
 
-#: Rows that a Python worker gets at once. Texts are long: the default of 10,000 rows would hold tens
-#: of megabytes several times over on both sides.
-BATCH_ROWS = 2000
+#: Rows and bytes that a Python worker gets at once. Texts and shingle arrays are long: the defaults of
+#: 10,000 rows and 64 MB would be held several times over on both sides, outside the JVM's heap.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:

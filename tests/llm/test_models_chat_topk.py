@@ -201,10 +201,10 @@ def test_blocks_are_skipped():
     assert scored < 50 * 20 / 2
 
 
-@pytest.mark.parametrize("name", ["op1_topk", "op4_chat_format"])
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_against_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("embeddings", "conversations"):
+    for t in ("embeddings", "conversations", "documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     got = QUERIES[name](spark, sf_dir)
     want = con.execute(ORACLE_SQL[name]).df()[got.columns]
