@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 from itertools import combinations
 
 import numpy as np
@@ -37,6 +37,8 @@ RADIUS = 31
 SLICE_CHARS = 16_000_000
 _BLOCK_BITS = BITS // BLOCKS
 _MARK_BITS = 20
+#: Up to so many patterns of items' blocks are laid out in a table; else windows' blocks are probed.
+_SPREAD = 1 << 20
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -103,21 +105,41 @@ class _Length:
     shingles: np.ndarray
     prints: np.ndarray
 
+    @cached_property
+    def blocks(self) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The patterns that a window's block is probed with; and for each block values in order, with
+        the item that each belongs to. With few items it is their blocks that take the patterns."""
+        mine, probes, own = _blocks(self.prints), _probes(), np.zeros(1, np.int64)
+        if len(self.items) * probes.size <= _SPREAD:
+            probes, own = own, probes
+        tables = []
+        for b in range(BLOCKS):
+            values = (mine[:, b, None] ^ own[None, :]).ravel().astype(np.uint16)
+            by = np.argsort(values, kind="stable")
+            tables.append((values[by], (by // own.size).astype(np.int32)))
+        return probes, tables
+
+    @cached_property
+    def owners(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different shingles in order, the (shingle, item) pairs, and each shingle's first pair."""
+        n = len(self.items)
+        known, back = np.unique(self.shingles.ravel(), return_inverse=True)
+        pairs = np.unique(back * n + np.repeat(np.arange(n), self.shingles.shape[1]))
+        return known, pairs % n, np.searchsorted(pairs, np.arange(known.size + 1) * n)
+
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of (window, item) whose fingerprints are within the radius."""
-        mine, theirs = _blocks(self.prints), _blocks(prints)
-        pairs = [np.zeros(0, np.int64)]
-        n = len(self.items)
-        for b in range(BLOCKS):
-            order = np.argsort(mine[:, b], kind="stable")
-            first = np.searchsorted(mine[order, b], np.arange((1 << _BLOCK_BITS) + 1))
+        theirs, pairs, n = _blocks(prints), [np.zeros(0, np.int64)], len(self.items)
+        probes, tables = self.blocks
+        for b, (values, items) in enumerate(tables):
             for k in range(0, len(prints), 4096):
-                seen = (theirs[k : k + 4096, b, None] ^ _probes()[None, :]).ravel()
-                hit = np.flatnonzero(first[seen + 1] > first[seen])
-                low = first[seen[hit]]
-                count = first[seen[hit] + 1] - low
-                window = np.repeat(k + hit // _probes().size, count)
-                pairs.append(np.unique(window * n + order[ranges(low, count)]))
+                seen = (theirs[k : k + 4096, b, None] ^ probes[None, :]).ravel().astype(np.uint16)
+                low = np.searchsorted(values, seen)
+                hit = np.flatnonzero(values[np.minimum(low, values.size - 1)] == seen)
+                low = low[hit]
+                count = np.searchsorted(values, seen[hit], side="right") - low
+                window = np.repeat(k + hit // probes.size, count)
+                pairs.append(np.unique(window * n + items[ranges(low, count)]))
         pair = np.unique(np.concatenate(pairs))
         window, item = pair // n, pair % n
         near = np.bitwise_count(prints[window] ^ self.prints[item]).sum(1) <= RADIUS
@@ -126,13 +148,12 @@ class _Length:
     def sharing(self, shingles: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of (window, item) with as many places in common as the threshold takes at least."""
         n, inside = len(self.items), self.shingles.shape[1]
-        known, back = np.unique(self.shingles.ravel(), return_inverse=True)
-        owners = np.unique(back * n + np.repeat(np.arange(n), inside))  # each item once for a shingle
-        first = np.searchsorted(owners, np.arange(known.size + 1) * n)
+        known, owner, first = self.owners
         at = np.minimum(np.searchsorted(known, shingles.ravel()), known.size - 1)
         hit = np.flatnonzero(known[at] == shingles.ravel())
-        count = first[at[hit] + 1] - first[at[hit]]
-        pair, times = np.unique(np.repeat(hit // inside, count) * n + owners[ranges(first[at[hit]], count)] % n, return_counts=True)
+        low = first[at[hit]]
+        count = first[at[hit] + 1] - low
+        pair, times = np.unique(np.repeat(hit // inside, count) * n + owner[ranges(low, count)], return_counts=True)
         enough = pair[times >= 2 * inside * threshold / (1 + threshold) - 1e-9]
         return enough // n, enough % n
 
