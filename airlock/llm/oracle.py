@@ -84,4 +84,23 @@ kept AS (SELECT doc_id, string_agg(substr(x, 2 * i - 1, 2), '' ORDER BY i) AS t
 SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
        sha256(unhex(CASE WHEN n IS NULL THEN x ELSE coalesce(t, '') END)) AS kept_sha256
 FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    # A source is at its cap if all would take no more than the budget at the level that fills it. Early
+    # sources (odd places) fall from 3/2 to 1/2 of their weight, late ones rise: w * (a * t + b * t * t)
+    # is due by the moment t.
+    "op12_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) AS p FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][1 + (p - 1) % 3]::DOUBLE AS w FROM s),
+o AS (SELECT a.source, any_value(a.n) AS n, any_value(a.p) AS p, any_value(a.w) AS w, sum(least(2 * b.n * a.w, 2 * a.n * b.w)) <= 1.5 * sum(b.n) * any_value(a.w) AS full_up
+      FROM w AS a CROSS JOIN w AS b GROUP BY a.source),
+r AS (SELECT 1.5::DOUBLE * sum(n) - coalesce(sum(2 * n) FILTER (full_up), 0) AS rest, coalesce(sum(w) FILTER (NOT full_up), 1) AS open FROM o),
+t AS (SELECT o.*, CASE WHEN full_up THEN (2 * n)::DOUBLE ELSE w * rest / open END AS target FROM o, r),
+c AS (SELECT d.*, n, p, target, floor(target)::BIGINT AS stop,
+             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS x
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+y AS (SELECT *, greatest(least(stop - x, size), 0) AS one, greatest(least(stop - x - n, size), 0) AS two FROM c)
+SELECT doc_id, size, n AS source_size, target, one + two AS taken, ((one > 0)::INT + (two > 0)::INT)::BIGINT AS passes,
+       CASE WHEN one > 0 THEN floor(1e6 * 2 * (x / target) / (CASE WHEN p % 2 = 1 THEN 1.5 + sqrt(2.25 - 2 * x / target) ELSE 0.5 + sqrt(0.25 + 2 * x / target) END))::BIGINT ELSE -1 END AS first_due
+FROM y""",
 }

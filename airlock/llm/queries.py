@@ -104,6 +104,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airlock.llm.mixing import placed
+
+    mixed = placed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    first = F.get("copies", 0)["due"]
+    told = mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("passes"), F.coalesce(F.floor(first * 1e6), F.lit(-1)).alias("first_due"))
+    return told.orderBy("first_due", "doc_id")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -117,4 +126,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_mixing": op12_mixing,
 }
