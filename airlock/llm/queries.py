@@ -113,6 +113,13 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.orderBy("first_due", "doc_id")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airlock.llm.whitening import whiten
+
+    white = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -127,4 +134,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op12_mixing": op12_mixing,
+    "op13_whitening": op13_whitening,
 }
