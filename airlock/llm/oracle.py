@@ -84,6 +84,25 @@ kept AS (SELECT doc_id, string_agg(substr(x, 2 * i - 1, 2), '' ORDER BY i) AS t
 SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
        sha256(unhex(CASE WHEN n IS NULL THEN x ELSE coalesce(t, '') END)) AS kept_sha256
 FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op11_collocations": rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+q AS (SELECT lang, [x FOR x IN string_split_regex(p, '[\x20\x09]+') IF x <> ''] AS w FROM (SELECT lang, unnest(p) AS p FROM d)),
+f1 AS (SELECT lang, g, count(*) AS f FROM (SELECT lang, unnest(w) AS g FROM q) GROUP BY ALL),
+f2 AS (SELECT lang, u, v, u || ' ' || v AS g, count(*) AS f FROM (SELECT lang, w[i] AS u, w[i + 1] AS v FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM q)) GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, u, v, x, count(*) AS f FROM (SELECT lang, w[i] AS u, w[i + 1] AS v, w[i + 2] AS x FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM q)) GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+longer AS (SELECT lang, g, max(f) AS f FROM (SELECT lang, unnest([u || ' ' || v, v || ' ' || x]) AS g, f FROM f3) GROUP BY ALL),
+two AS (SELECT lang, g AS phrase, f2.f AS a, l.f AS l, r.f AS r
+        FROM f2 LEFT JOIN longer USING (lang, g) JOIN f1 AS l ON l.lang = f2.lang AND l.g = f2.u JOIN f1 AS r ON r.lang = f2.lang AND r.g = f2.v
+        WHERE coalesce(100 * longer.f < 50 * f2.f, true)),
+three AS (SELECT f3.lang, f3.u || ' ' || f3.v || ' ' || x AS phrase, f3.f AS a, a1.f AS l1, b1.f AS r1, a2.f AS l2, b2.f AS r2
+          FROM f3 JOIN f1 AS a1 ON a1.lang = f3.lang AND a1.g = f3.u JOIN f2 AS b1 ON b1.lang = f3.lang AND b1.g = f3.v || ' ' || x
+          JOIN f2 AS a2 ON a2.lang = f3.lang AND a2.g = f3.u || ' ' || f3.v JOIN f1 AS b2 ON b2.lang = f3.lang AND b2.g = x),
+cut AS (SELECT *, (1000000::HUGEINT * a * a) // (l1::HUGEINT * r1) AS s1, (1000000::HUGEINT * a * a) // (l2::HUGEINT * r2) AS s2 FROM three),
+every AS (SELECT lang, phrase, a, l, r, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM two
+          UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2)::BIGINT FROM cut),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM every)
+SELECT lang, rank, phrase, a, l, r, n, score FROM best JOIN n USING (lang) WHERE rank <= 2000""",
     # A source is at its cap if all would take no more than the budget at the level that fills it. Early
     # sources (odd places) fall from 3/2 to 1/2 of their weight, late ones rise: w * (a * t + b * t * t)
     # is due by the moment t.

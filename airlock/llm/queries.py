@@ -104,6 +104,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airlock.llm.collocations import collocations
+
+    return collocations(_documents(spark, sf_dir))
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from airlock.llm.mixing import placed
 
@@ -133,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_collocations": op11_collocations,
     "op12_mixing": op12_mixing,
     "op13_whitening": op13_whitening,
 }
