@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airlock.functions.risk import service_columns
-from airlock.operators.audit import consume_events, decide_events, log
+from airlock.operators.audit import consume_events, decide_events, log, startup
 from airlock.operators.tickets import decide_uses
 from airlock.sources import requests
 
@@ -33,14 +33,18 @@ def asked_uses(lines: DataFrame) -> DataFrame:
     return requests.use_fields(used, ["seq", "ts"])
 
 
-def served(lines: DataFrame, ttl: Column) -> DataFrame:
-    """The audit log of all requests: an event for each ticket issued and for each use asked."""
+def served(lines: DataFrame, ttl: Column, opened: DataFrame | None = None) -> DataFrame:
+    """The audit log of all requests: an event for each ticket issued and for each use asked, and one for
+    the start of the service at the time in `opened` (one row, column ts), if given."""
     tickets = issued_tickets(lines)
     decided = decide_uses(tickets.select("ticket", "issued"), asked_uses(lines), ttl)
-    return log(decide_events(tickets), consume_events(decided))
+    events = (decide_events(tickets), consume_events(decided))
+    return log(*events) if opened is None else log(startup(opened), *events)
 
 
 def protocol_rows(lines: DataFrame) -> DataFrame:
-    """(ticket, ts, seq, is_use, choice) for streaming.tickets.decide_stream, of both endpoints."""
-    issued = issued_tickets(lines).select("ticket", F.col("issued").alias("ts"), "seq", F.lit(False).alias("is_use"), F.lit(None).cast("string").alias("choice"))
-    return issued.unionByName(asked_uses(lines).select("ticket", "ts", "seq", F.lit(True).alias("is_use"), "choice"))
+    """(ticket, ts, seq, is_use, choice, risk, preflight, said, secrets) for streaming.tickets, of both endpoints."""
+    nothing = {"risk": "int", "preflight": "string", "said": "string", "secrets": "long"}
+    issued = issued_tickets(lines).select("ticket", F.col("issued").alias("ts"), "seq", F.lit(False).alias("is_use"), F.lit(None).cast("string").alias("choice"), "risk", "preflight", F.col("reason").alias("said"), "secrets")
+    asked = asked_uses(lines).select("ticket", "ts", "seq", F.lit(True).alias("is_use"), "choice", *(F.lit(None).cast(kind).alias(n) for n, kind in nothing.items()))
+    return issued.unionByName(asked)

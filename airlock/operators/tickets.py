@@ -12,7 +12,7 @@ def decide_uses(decides: DataFrame, uses: DataFrame, ttl: Column) -> DataFrame:
     """uses (ticket, ts, seq, choice, ...) with decision and reason.
 
     decides has one row (ticket, issued) for each ticket. Checked in this order: a ticket that was
-    not issued yet is unknown; after issued + ttl it is expired; the first use that is neither uses
+    not issued yet is unknown, and so is one at no time (null); after issued + ttl it is expired; the first use that is neither uses
     the ticket up, whatever its choice; later ones are replays. The first use is found by a minimum
     for each ticket; it then joins the tickets, so the uses meet their tickets in one join each time.
 
@@ -21,7 +21,7 @@ def decide_uses(decides: DataFrame, uses: DataFrame, ttl: Column) -> DataFrame:
     """
     have = set(decides.columns)
     known = decides.select("ticket", "issued", *(F.col(n) if n in have else F.lit(False).alias(n) for n in ("used", "before")))
-    early = F.col("issued").isNull() | (~F.col("before") & (F.col("ts") < F.col("issued")))
+    early = F.col("issued").isNull() | F.col("ts").isNull() | (~F.col("before") & (F.col("ts") < F.col("issued")))
     late = F.col("ts") > F.col("issued") + ttl
     live = uses.select("ticket", "ts", "seq").join(known.where(~F.col("used")), "ticket").where(~early & ~late)
     firsts = live.groupBy("ticket").agg(F.min(F.struct("ts", "seq")).alias("_first"))

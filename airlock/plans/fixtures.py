@@ -7,6 +7,8 @@ requests come from events, conversations and pages in the same way.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,6 +156,7 @@ def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REQUEST_START_MS = 1704067200000
+REQUEST_START = dt.datetime.fromtimestamp(REQUEST_START_MS / 1000, dt.UTC)
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from airlock.functions import catalog as c
-from airlock.plans.fixtures import OFFSETS, PLANTS
+from airlock.plans.fixtures import OFFSETS, PLANTS, REQUEST_START_MS
 
 
 def _q(s: str) -> str:
@@ -121,6 +121,9 @@ judged AS (SELECT seq, ts, ticket, choice, CASE WHEN k0 % 7 = 0 OR k0 % 11 = 0 T
   WHEN choice = 'ALLOW' THEN 'user allowed' ELSE 'user blocked' END AS reason FROM uses),
 answered AS (SELECT *, CASE WHEN reason = 'user allowed' THEN 'ALLOW' ELSE 'DENY' END AS decision FROM judged)"""
 
+_REQUEST_LOG = f"""SELECT ts, seq, 'DECIDE' AS kind, ticket, risk::VARCHAR AS risk, preflight, reason, {_N_FINDINGS}::VARCHAR AS secrets, NULL AS decision, NULL AS choice, NULL AS message, NULL AS port FROM asked
+UNION ALL SELECT ts, seq, 'CONSUME', ticket, NULL, NULL, reason, NULL, decision, choice, NULL, NULL FROM answered"""
+
 ORACLE_SQL: dict[str, str] = {
     "scan_findings": f"WITH {_DOCS}, cut AS (SELECT doc_id, substr(msg, 1, 6000) AS t FROM docs) SELECT doc_id, {_FINDINGS} AS findings, {_N_FINDINGS} AS n_findings FROM cut",
     "scan_findings_conversations": f"WITH {_MESSAGES}, cut AS (SELECT msg_id, substr(msg, 1, 6000) AS t FROM messages) SELECT msg_id, {_FINDINGS} AS findings, {_N_FINDINGS} AS n_findings FROM cut",
@@ -182,7 +185,8 @@ t AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'pdf.summarize' WHEN 'cl
 SELECT tool, event_id, coalesce(tier, 'High') AS tier, reason FROM t LEFT JOIN policy USING (tool)""",
     "stream_scan": f"WITH {_DOCS}, {_sender('docs', 'doc_id')} SELECT doc_id, findings, score, label FROM sent",
     "stream_tickets": f"WITH {_TICKETS} SELECT seq, ticket, choice, decision, reason FROM decided",
-    "stream_stats": f"WITH {_LOG} {_counts('log')}",
+    "stream_stats": f"WITH {_LOG} SELECT *, (SELECT count(*) FROM log WHERE kind = 'DECIDE' AND secrets > 0) AS secrets_caught FROM ({_counts('log')})",
+    "stream_feed": f"WITH {_LOG} SELECT {_WRITTEN} FROM feed",
     "feed_json": f"""WITH {_LOG} SELECT (row_number() OVER (ORDER BY ts DESC, seq DESC) - 1)::INT AS pos, epoch_us(ts) // 1000 AS ts_ms, kind, ticket, risk::VARCHAR AS risk, preflight, decision, reason, choice,
 secrets::VARCHAR AS secrets, message, port::VARCHAR AS port FROM feed""",
     "user_counters": f"""WITH {_LOG}, l AS (SELECT *, split_part(ticket, '-', 1) AS "user" FROM log),
@@ -192,7 +196,8 @@ count(*) FILTER (reason = 'replay blocked') AS replay_blocked FROM a JOIN l USIN
     "ticket_meta": f"""WITH {_REQUESTS} SELECT seq, ticket, {_case("k0 % 3", ("chatgpt", "claude", "web"))} AS product, {_case("k0 % 3", ("chatgpt.com", "claude.ai", "example.org"))} AS host,
 'chat.send' AS action, length, risk, preflight, reason FROM asked""",
     "meta_agreement": f"""WITH {_REQUESTS} SELECT (k0 % 100)::INT AS score, risk, count(*) AS n, (k0 % 100 >= 85) = (risk >= 85) AS agree FROM asked GROUP BY ALL""",
-    "request_to_audit": f"""WITH {_REQUESTS} SELECT ts, seq, 'DECIDE' AS kind, ticket, risk::VARCHAR AS risk, preflight, reason, {_N_FINDINGS}::VARCHAR AS secrets, NULL AS decision, NULL AS choice, NULL AS message, NULL AS port FROM asked
-UNION ALL SELECT ts, seq, 'CONSUME', ticket, NULL, NULL, reason, NULL, decision, choice, NULL, NULL FROM answered""",
+    "request_to_audit": f"WITH {_REQUESTS} {_REQUEST_LOG}",
+    "stream_audit": f"""WITH {_REQUESTS} {_REQUEST_LOG}
+UNION ALL SELECT make_timestamp({REQUEST_START_MS} * 1000), -1, 'STARTUP', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'audit log opened', {_q(str(c.PORT))}""",
     "stream_requests": f"WITH {_REQUESTS} SELECT seq, ticket, choice, decision, reason FROM answered",
 }

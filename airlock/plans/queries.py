@@ -14,8 +14,8 @@ from airlock.operators import audit, metrics, pages, service, tickets
 from airlock.plans import fixtures
 from airlock.sources import requests
 from airlock.sources.tables import append, append_stream, shared_dir, stream, table
-from airlock.streaming.messages import counters_stream, scan_stream
-from airlock.streaming.tickets import ANSWERS, answer_stream, read_answers
+from airlock.streaming.messages import scan_stream
+from airlock.streaming.tickets import answer_stream, read_answers, read_counters, read_events, read_feed
 
 
 def _cut(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -275,11 +275,21 @@ def request_to_audit(spark: SparkSession, d: str) -> DataFrame:
     return _written(spark.read.parquet(path)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def _served(spark: SparkSession, d: str) -> str:
+    """Where the tables of the service are, after the request files as a stream of several batches."""
+    path, lines = _scratch(spark, "service"), requests.stream_requests(spark, _request_files(spark, d), files_per_batch=1)
+    answer_stream(service.protocol_rows(lines), path, f"{path}/checkpoint", opened=fixtures.REQUEST_START).awaitTermination()
+    return path
+
+
 def stream_requests(spark: SparkSession, d: str) -> DataFrame:
     """The same request files as a stream of several batches: the answers to all uses."""
-    path, lines = _scratch(spark, "answers"), requests.stream_requests(spark, _request_files(spark, d), files_per_batch=1)
-    answer_stream(service.protocol_rows(lines), path, f"{path}/checkpoint").awaitTermination()
-    return read_answers(spark, path).select("seq", "ticket", "choice", "decision", "reason")
+    return read_answers(spark, _served(spark, d)).select("seq", "ticket", "choice", "decision", "reason")
+
+
+def stream_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The audit log that the stream of request files leaves."""
+    return _written(read_events(spark, _served(spark, d)).drop("batch")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def _streamed(df: DataFrame, name: str) -> DataFrame:
@@ -295,12 +305,14 @@ def stream_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _answered(spark: SparkSession, d: str) -> str:
-    """Where the answers to all uses in the stream of events are."""
+    """Where the tables of the service are, after the stream of events."""
     named = fixtures._ticketed(stream(spark, d, "events")).withColumn("is_use", ~F.col("event_type").isin("view", "signup"))
     choice = F.when(F.col("is_use"), F.when(F.col("event_type") == "purchase", "ALLOW").otherwise("DENY"))
-    rows = named.select("ticket", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "is_use", choice.alias("choice"))
+    said = {"risk": F.lit(c.BASE_SCORE), "preflight": F.lit("ALLOW"), "said": F.lit("No issues detected"), "secrets": (F.col("event_id") % 3).cast("long")}
+    rows = named.select("ticket", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "is_use", choice.alias("choice"), *(x.alias(n) for n, x in said.items()))
+    opened = table(spark, d, "events").agg(F.min("ts").cast("timestamp")).first()[0]
     ttl_ms, path = fixtures.TTL_HOURS * 3_600_000, _scratch(spark, "tickets")
-    answer_stream(rows, path, f"{path}/checkpoint", ttl_ms, retention_ms=8 * ttl_ms).awaitTermination()
+    answer_stream(rows, path, f"{path}/checkpoint", ttl_ms, retention_ms=8 * ttl_ms, opened=opened).awaitTermination()
     return path
 
 
@@ -309,12 +321,13 @@ def stream_tickets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Counters of the stream of answers, kept running."""
-    name = f"stats_{uuid.uuid4().hex}"
-    told = spark.readStream.schema(f"{ANSWERS}, batch long").parquet(f"{_answered(spark, d)}/answers")
-    counted = counters_stream(told).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    counted.awaitTermination()
-    return spark.table(name)
+    """The five counters that the stream of events has kept."""
+    return read_counters(spark, _answered(spark, d))
+
+
+def stream_feed(spark: SparkSession, d: str) -> DataFrame:
+    """The feed that the stream of events has kept."""
+    return _written(read_feed(spark, _answered(spark, d))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -325,6 +338,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         send_clicks, compose_choice, base_url_norm, ticket_shape, _decide_requests, secrets_caught, request_intake, request_rejects,
         ticket_decisions, ticket_answers, released_actions, offline_denied, abandoned_tickets, bypass_clicks, audit_log, audit_feed, audit_lines,
         feed_json, user_counters, ticket_meta, meta_agreement, request_to_audit, stream_requests, stats, dashboard_metrics, feed_vs_counters, running_counters, feed_depth, policy_join, stream_scan, stream_tickets,
-        stream_stats,
+        stream_stats, stream_audit, stream_feed,
     )
 }

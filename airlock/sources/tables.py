@@ -47,3 +47,9 @@ def append_stream(df: DataFrame, path: str, checkpoint: str, every: str | None =
     """Appends a stream to an audit table: at an interval such as "2 seconds", or what is there now."""
     writer = df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file, wherever its file system is; one that isn't there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -16,14 +16,3 @@ def scan_stream(messages: DataFrame, keep: list[str], text: str = "text") -> Dat
     found = cut.select(*keep, F.length("_text").alias("_length"), findings_text(F.col("_text")).alias("findings"))
     scored = found.select(*keep, "findings", message_score(F.col("_length"), F.col("findings") != "").alias("score"))
     return scored.withColumn("label", label(F.col("score")))
-
-
-def counters_stream(decided: DataFrame) -> DataFrame:
-    """Running counters of a stream of answers; write in complete or update mode."""
-    use = lambda flag, name: F.sum(F.when(flag, 1).otherwise(0)).cast("long").alias(name)
-    return decided.groupBy().agg(
-        F.count("*").alias("total"),
-        use(F.col("decision") == "ALLOW", "allowed"),
-        use(F.col("decision") == "DENY", "denied"),
-        use(F.col("reason") == "replay blocked", "replay_blocked"),
-    )

@@ -1,74 +1,134 @@
-"""Tickets on a live stream: each use is answered once, by what is known when it comes.
+"""The service on a live stream: tickets, answers, audit log, counters and feed, batch by batch.
 
-Every micro-batch is one join of its rows with a table of the tickets that are still remembered.
-The batch writes its answers and the next table under its own number, so a batch that is run again
-after a failure overwrites what it wrote, and its answers stay the same. No row passes through
-Python.
+Every micro-batch is a join of its rows with what is remembered of their tickets. Its events go to the
+audit log once; all else follows from them as they were written: the tickets it has issued and used up,
+the counters, and the newest rows for the feed. One manifest commits the batch (see commits), so log,
+tickets, counters and feed always belong together. No row passes through Python.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from airlock.functions import catalog as c
+from airlock.operators import audit, metrics
 from airlock.operators.tickets import decide_uses
+from airlock.sources.tables import remove
+from airlock.streaming.commits import add, commit, committed, last_commit, of_batch
+from airlock.streaming.ticket_table import BUCKETS, PARTS, TicketTable, learnt_from
 
 #: How long a used or expired ticket is remembered. Later uses of it are unknown instead of expired.
 RETENTION_MS = 10 * c.TICKET_MS
 #: Columns of answers, besides the batch that gave them.
 ANSWERS = "ticket string, ts timestamp, seq long, choice string, decision string, reason string"
-_STATE = "ticket string, issued timestamp, used boolean"
+EVENTS = "ts timestamp, seq long, kind string, ticket string, risk int, preflight string, reason string, secrets long, decision string, choice string, message string, port int"
+COUNTED = (*metrics.COUNTERS, "secrets_caught")
+MANIFEST = f"latest timestamp, parts {PARTS}, " + ", ".join(f"{n} long" for n in COUNTED)
+#: What a decide may say besides its ticket and time.
+_SAID = {"risk": "int", "preflight": "string", "said": "string", "secrets": "long"}
 
 
 def _interval(ms: int):
     return F.expr(f"INTERVAL '{ms / 1000}' SECOND")
 
 
-def answer_batch(rows: DataFrame, state: DataFrame, ttl_ms: int, retention_ms: int, lateness_ms: int) -> tuple[DataFrame, DataFrame]:
-    """The answers to a micro-batch's uses, and the state after it.
+def batch_events(rows: DataFrame, known: DataFrame, ttl_ms: int) -> DataFrame:
+    """The audit events of a micro-batch's rows: one for each ticket that is new, one for each use.
 
-    Within a batch a ticket's rows are taken in the order of ts, decides before uses, seq. A use that
-    comes in an earlier batch than its decide is unknown, and so is one without a ticket. In the state, the row without a ticket
-    holds the latest time seen; tickets are forgotten when that is `lateness_ms` past the end of
-    their retention.
+    Within a batch a ticket's rows are taken in the order of ts, decides before uses, seq. Of several
+    decides of one ticket the first counts. A use that comes in an earlier batch than its decide is
+    unknown, and so is one without a ticket. `known` (ticket, issued, used) is remembered from
+    earlier batches.
     """
-    known = state.where("ticket is not null")
-    new = rows.where(~F.col("is_use") & F.col("ticket").isNotNull()).groupBy("ticket").agg(F.min("ts").alias("asked"))
-    tickets = known.withColumn("before", F.lit(True)).join(new, "ticket", "full")
-    tickets = tickets.select("ticket", F.coalesce("issued", "asked").alias("issued"), F.coalesce("used", F.lit(False)).alias("used"), F.coalesce("before", F.lit(False)).alias("before"))
+    first = rows.where(~F.col("is_use") & F.col("ticket").isNotNull()).groupBy("ticket").agg(F.min(F.struct(F.col("ts").isNull().alias("timeless"), "ts", "seq", *_SAID)).alias("d"))
+    tickets = known.withColumn("before", F.lit(True)).join(first, "ticket", "full")
+    of = lambda n, other: F.coalesce(n, other).alias(n)
+    tickets = tickets.select("ticket", of("issued", "d.ts"), of("used", F.lit(False)), of("before", F.lit(False)), "d")
+    new = tickets.where(~F.col("before")).select("ticket", "issued", "d.seq", "d.risk", "d.preflight", F.col("d.said").alias("reason"), "d.secrets")
     uses = rows.where("is_use").select("ticket", "ts", "seq", "choice")
-    answers = decide_uses(tickets, uses, _interval(ttl_ms)).select("ticket", "ts", "seq", "choice", "decision", "reason")
-    now_used = answers.where(F.col("reason").isin(c.ALLOWED, c.BLOCKED)).select("ticket", F.lit(True).alias("now"))
-    latest = rows.select("ts").union(state.where("ticket is null").select("issued")).agg(F.max("ts").alias("latest"))
-    kept = tickets.join(now_used, "ticket", "left").select("ticket", "issued", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"))
-    kept = kept.join(F.broadcast(latest)).where(F.col("issued") + _interval(ttl_ms + retention_ms + lateness_ms) > F.col("latest")).drop("latest")  # one row
-    return answers, kept.union(latest.select(F.lit(None).cast("string"), "latest", F.lit(False)))
+    return audit.log(audit.decide_events(new), audit.consume_events(decide_uses(tickets, uses, _interval(ttl_ms))))
 
 
-def answer_stream(rows: DataFrame, path: str, checkpoint: str, ttl_ms: int = c.TICKET_MS, retention_ms: int = RETENTION_MS, lateness_ms: int | None = None, every: str | None = None) -> StreamingQuery:
-    """Answers the uses in a stream of (ticket, ts timestamp, seq, is_use, choice) under path/answers.
+def answer_stream(rows: DataFrame, path: str, checkpoint: str, ttl_ms: int = c.TICKET_MS, retention_ms: int = RETENTION_MS, lateness_ms: int | None = None, every: str | None = None, opened: dt.datetime | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+    """Answers the uses in a stream of (ticket, ts timestamp, seq, is_use, choice) and keeps the service's
+    tables under a path: read_events, read_answers, read_counters and read_feed read them.
 
-    Every use is answered, however late. `lateness_ms` is the retention unless given. `every` is an
-    interval between batches such as "2 seconds"; without it, what is there now is read. The tables
-    of remembered tickets are under path/state; the last two are kept.
+    Rows of decides may carry risk, preflight, said (the reason) and secrets. Every use is answered,
+    however late. `lateness_ms` is the retention unless given. `every` is an interval between batches
+    such as "2 seconds"; without it, what is there now is read. `opened` is the time of a STARTUP event
+    in the first batch; without it there is none. `buckets` stays the same for a path.
     """
     late = retention_ms if lateness_ms is None else lateness_ms
+    kept_ms = ttl_ms + retention_ms + late
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        state = spark.read.schema(_STATE).parquet(f"{path}/state/{number - 1}") if number else spark.createDataFrame([], _STATE)
-        answers, after = answer_batch(batch, state, ttl_ms, retention_ms, late)
-        after.write.mode("overwrite").parquet(f"{path}/state/{number}")
-        answers.write.mode("overwrite").parquet(f"{path}/answers/batch={number}")
-        if number > 1:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/state/{number - 2}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        done = last_commit(spark, path, MANIFEST)
+        if done is not None and done["batch"] >= number:
+            return
+        missing = {n: F.lit(None).cast(kind) for n, kind in _SAID.items() if n not in batch.columns}
+        rows = batch.withColumns(missing).persist()
+        try:
+            _run(spark, rows, number, done)
+        finally:
+            rows.unpersist()
+
+    def _run(spark: SparkSession, rows: DataFrame, number: int, done) -> None:
+        latest = done["latest"] if done else None
+        table = TicketTable(spark, path, list(done["parts"]) if done else [], latest - dt.timedelta(milliseconds=kept_ms) if latest else None, buckets)
+        mine = rows.where("ticket is not null").groupBy("ticket").agg(F.max("ts").alias("ts"))
+        touched = rows.agg(F.max("ts"), F.collect_set(F.when(F.col("ticket").isNotNull(), table.bucket()))).first()
+        events = batch_events(rows, table.known(mine, touched[1]), ttl_ms)
+        if opened is not None and number == 0:
+            events = audit.log(audit.startup(spark.createDataFrame([(opened,)], "ts timestamp")), events)
+        add(events, path, "events", number)
+        written = of_batch(spark, path, "events", EVENTS, number)
+
+        shown = written if done is None else written.unionByName(of_batch(spark, path, "feed", EVENTS, done["batch"]))
+        add(audit.feed(shown).coalesce(1), path, "feed", number)
+        learnt = learnt_from(written)
+        sums = metrics.counters(written).crossJoin(learnt.agg(F.count("*").alias("rows"), F.max("at").alias("newest"))).first()  # one row each
+        parts, old = [tuple(p) for p in table.parts], []
+        if sums["rows"]:
+            parts, old = table.extended(number, learnt, sums["rows"], sums["newest"])
+        newest = max((t for t in (latest, touched[0]) if t is not None), default=None)
+        commit(spark, path, number, MANIFEST, (newest, parts, *(sums[n] + (done[n] if done else 0) for n in COUNTED)))
+        # Nobody needs these any more: a reader that has begun with the manifest before keeps its feed.
+        gone = [f"tickets/batch={v}" for v in old] + ([f"feed/batch={done['batch'] - 1}"] if done else [])
+        for folder in gone:
+            remove(spark, f"{path}/{folder}")
 
     writer = rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def read_answers(spark, path: str) -> DataFrame:
-    return spark.read.schema(f"{ANSWERS}, batch long").parquet(f"{path}/answers")
+def _last(spark: SparkSession, path: str):
+    return last_commit(spark, path, MANIFEST)
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """The audit log of all committed batches."""
+    done = _last(spark, path)
+    return committed(spark, path, "events", EVENTS, done["batch"] if done else None)
+
+
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    """(ticket, ts, seq, choice, decision, reason, batch) of all uses in committed batches."""
+    return read_events(spark, path).where("kind = 'CONSUME'").select("ticket", "ts", "seq", "choice", "decision", "reason", "batch")
+
+
+def read_counters(spark: SparkSession, path: str) -> DataFrame:
+    """One row: the five counters as of the last committed batch."""
+    done = _last(spark, path)
+    return spark.createDataFrame([tuple(done[n] if done else 0 for n in COUNTED)], ", ".join(f"{n} long" for n in COUNTED))
+
+
+def read_feed(spark: SparkSession, path: str) -> DataFrame:
+    """The newest events as of the last committed batch, newest first."""
+    done = _last(spark, path)
+    rows = of_batch(spark, path, "feed", EVENTS, done["batch"]) if done else spark.createDataFrame([], EVENTS)
+    return audit.feed(rows)
