@@ -36,7 +36,7 @@ _SPLIT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09]] = True
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
-_RUN = pa.schema([("lang", pa.string()), ("size", pa.int8()), ("head", pa.string()), ("tail", pa.string()), ("n", pa.int64()), ("mark", pa.int64())])
+_RUN = pa.schema([("lang", pa.string()), ("size", pa.int8()), ("head", pa.string()), ("tail", pa.string()), ("n", pa.int64())])
 
 
 def _chunks(buf: np.ndarray, offs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -69,6 +69,20 @@ def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(offs, starts, side="right") - 1
 
 
+def _seeds(langs: list[str]) -> np.ndarray:
+    """A hash of each language. Not the one that words have: a word must not look like another one with
+    their languages exchanged."""
+    known = {g: int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest()) for g in set(langs)}
+    return np.array([known[g] for g in langs], np.uint64)
+
+
+def _named(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """A hash other than 0 of each word in its language."""
+    h = mix(word_hashes(data, starts, ends) ^ seed)
+    h[h == 0] = 1
+    return h
+
+
 class Counter:
     """Counts the phrases of some sizes in one task, by language."""
 
@@ -81,19 +95,16 @@ class Counter:
         self.trie, self.ids = HatTrie(), Table(12)
         self.langs: dict[str, int] = {}
         self.text: list[pa.Array] = []
-        self.lang_of, self.hash_of = [np.zeros(1, np.int32)], [np.zeros(1, np.uint64)]
+        self.lang_of = [np.zeros(1, np.int32)]
 
     def add(self, buf: np.ndarray, offs: np.ndarray, langs: list[str]) -> Iterator[pa.RecordBatch]:
-        # Not the hash that words have: a word must not look like another one with their languages exchanged.
-        seeds = {g: int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest()) for g in set(langs)}
-        seed = np.array([seeds[g] for g in langs], np.uint64)
+        seed = _seeds(langs)
         for a, b in _chunks(buf, offs, PIECE_BYTES):
             data = lowered(buf[a:b])
             starts, ends, doc = _words(data, offs - a)
             if starts.size == 0:
                 continue
-            h = mix(word_hashes(data, starts, ends) ^ seed[doc])
-            h[h == 0] = 1
+            h = _named(data, starts, ends, seed[doc])
             for g, n in zip(*np.unique(doc, return_counts=True), strict=True):
                 self.totals[langs[g]] = self.totals.get(langs[g], 0) + int(n)
             self._learn(data, starts, ends, h, doc, langs)
@@ -118,7 +129,6 @@ class Counter:
             edges = np.concatenate([[0], np.cumsum(sizes)])
             chars = data[np.arange(edges[-1]) + np.repeat(starts[spans] - edges[:-1], sizes)]
             self.text.append(pa.LargeStringArray.from_buffers(fresh.size, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(chars)).cast(pa.string()))
-            self.hash_of.append(new_words[fresh])
             self.lang_of.append(np.array([self.langs.setdefault(langs[d], len(self.langs)) for d in doc[spans]], np.int32))
         ids = self.ids.values[at][back]
         split = np.concatenate([[0], np.cumsum(_SPLIT[data])])[starts]
@@ -143,8 +153,8 @@ class Counter:
 
     def _runs(self, down_to: int) -> Iterator[pa.RecordBatch]:
         text = pa.concat_arrays([pa.array([""]), *self.text])
-        lang_of, hash_of = np.concatenate(self.lang_of), np.concatenate(self.hash_of)
-        self.text, self.lang_of, self.hash_of = [text[1:]], [lang_of], [hash_of]
+        lang_of = np.concatenate(self.lang_of)
+        self.text, self.lang_of = [text[1:]], [lang_of]
         names = pa.array(list(self.langs), pa.string())
         for paths, counts in self.trie.spill(down_to):
             for k in range(0, paths.size, RUN_ROWS):
@@ -152,14 +162,13 @@ class Counter:
                 first = text.take(pa.array(one))
                 head = pc.if_else(pa.array(two > 0), pc.binary_join_element_wise(first, text.take(pa.array(two)), " "), first)
                 size = 1 + (two > 0) + (three > 0)
-                mark = np.where(size == 2, _marks(hash_of[one], hash_of[two]).view(np.int64), 0)
-                columns = [names.take(pa.array(lang_of[one])), pa.array(size.astype(np.int8)), head, text.take(pa.array(three)), pa.array(counts[k : k + RUN_ROWS]), pa.array(mark)]
+                columns = [names.take(pa.array(lang_of[one])), pa.array(size.astype(np.int8)), head, text.take(pa.array(three)), pa.array(counts[k : k + RUN_ROWS])]
                 yield pa.record_batch(columns, schema=_RUN)
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         yield from self._runs(0)
         if 1 in self.sizes:
-            rows = [(g, 0, "", "", n, 0) for g, n in self.totals.items()]
+            rows = [(g, 0, "", "", n) for g, n in self.totals.items()]
             yield pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_RUN)], schema=_RUN)
 
 
@@ -168,7 +177,7 @@ def _marks(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def _counted(texts: DataFrame, sizes: tuple[int, ...], admitted=None) -> DataFrame:
-    """(lang, size, head, tail, n, mark) of all phrases of these sizes: runs from the tasks, merged."""
+    """(lang, size, head, tail, n) of all phrases of these sizes: runs from the tasks, merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(sizes, admitted.value if admitted is not None else None)
@@ -176,15 +185,24 @@ def _counted(texts: DataFrame, sizes: tuple[int, ...], admitted=None) -> DataFra
             yield from counter.add(*flat(batch.column(1)), batch.column(0).to_pylist())
         yield from counter.rest()
 
-    runs = texts.mapInArrow(run, "lang string, size byte, head string, tail string, n long, mark long")
-    return runs.repartition("lang", "head").groupBy("lang", "size", "head", "tail").agg(F.sum("n").alias("n"), F.max("mark").alias("mark"))
+    runs = texts.mapInArrow(run, "lang string, size byte, head string, tail string, n long")
+    return runs.repartition("lang", "head").groupBy("lang", "size", "head", "tail").agg(F.sum("n").alias("n"))
 
 
 def _bits(pairs: DataFrame) -> tuple[np.ndarray, int]:
     """A bit for each of 2 ** bits endings of a pair's mark, set where a frequent pair ends so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = flat(batch.column(1))
+            starts, ends, row = _words(data, offs)
+            h = _named(data, starts, ends, _seeds(batch.column(0).to_pylist())[row])
+            yield pa.record_batch([pa.array(_marks(h[::2], h[1::2]).view(np.int64))], ["mark"])
+
     bits = min(_FILTER_BITS, max(16, (8 * pairs.count()).bit_length()))
     at = F.col("mark").bitwiseAND((1 << bits) - 1)
-    parts = pairs.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(mark & 63 AS INT))").alias("bit"))
+    marks = pairs.select("lang", "head").mapInArrow(run, "mark long")
+    parts = marks.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(mark & 63 AS INT))").alias("bit"))
     table = parts.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[table["word"].to_numpy()] = table["bit"].to_numpy().view(np.uint64)
@@ -201,7 +219,7 @@ def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", leas
     held = spark.sparkContext.broadcast(_bits(short.where("size = 2")))
     long = written(_counted(texts, (3,), held).where(frequent), "triples")
     held.unpersist()
-    return short.drop("mark"), long.drop("mark")
+    return short, long
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
