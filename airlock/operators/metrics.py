@@ -25,10 +25,10 @@ def counts() -> list[Column]:
     return [F.count_if(flag).alias(name) for name, flag in _flags().items()]
 
 
-def counters(events: DataFrame) -> DataFrame:
-    """One row: uses, and how they were decided; and decide requests with a secret."""
+def counters(events: DataFrame, *more: Column) -> DataFrame:
+    """One row: uses, and how they were decided; and decide requests with a secret. And `more` aggregates."""
     secret = (F.col("kind") == "DECIDE") & (F.col("secrets") > 0)
-    return events.agg(*counts(), F.count_if(secret).alias("secrets_caught"))
+    return events.agg(*counts(), F.count_if(secret).alias("secrets_caught"), *more)
 
 
 def dashboard(feed: DataFrame) -> DataFrame:

@@ -155,6 +155,22 @@ def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("msg_id", line.alias("line"))
 
 
+#: How much later than it happened a row of the event logs may come.
+LATE_HOURS = 12
+
+
+def in_arrival_order(df: DataFrame, at: str, key: Column, path: str, late_ms: int, heartbeat: DataFrame, files: int = 5) -> None:
+    """Writes df as files in the order in which its rows arrive, each up to `late_ms` after its time `at`,
+    as the key says; the last file is a heartbeat."""
+    came = df.withColumn("_came", F.unix_millis(F.col(at).cast("timestamp")) + F.pmod(F.xxhash64(key), F.lit(late_ms)))
+    first, last = came.agg(F.min("_came"), F.max("_came")).first()
+    step = (last - first) // files + 1
+    for n in range(files):
+        part = came.where((F.col("_came") >= first + n * step) & (F.col("_came") < first + (n + 1) * step)).drop("_came")
+        part.coalesce(1).write.mode("append").parquet(path)
+    heartbeat.coalesce(1).write.mode("append").parquet(path)
+
+
 REQUEST_START_MS = 1704067200000
 REQUEST_START = dt.datetime.fromtimestamp(REQUEST_START_MS / 1000, dt.UTC)
 

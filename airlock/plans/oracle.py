@@ -186,6 +186,10 @@ SELECT tool, event_id, coalesce(tier, 'High') AS tier, reason FROM t LEFT JOIN p
     "stream_scan": f"WITH {_DOCS}, {_sender('docs', 'doc_id')} SELECT doc_id, findings, score, label FROM sent",
     "stream_tickets": f"WITH {_TICKETS} SELECT seq, ticket, choice, decision, reason FROM decided",
     "stream_stats": f"WITH {_LOG} SELECT *, (SELECT count(*) FROM log WHERE kind = 'DECIDE' AND secrets > 0) AS secrets_caught FROM ({_counts('log')})",
+    "stream_two_logs": f"WITH {_TICKETS} SELECT seq, ticket, choice, decision, reason FROM decided",
+    "stream_abandoned": f"""WITH {_TICKETS} SELECT ticket, issued, issued + INTERVAL 6 HOUR AS expires FROM d
+WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.ticket = d.ticket AND u.ts BETWEEN d.issued AND d.issued + INTERVAL 6 HOUR)""",
+    "stream_offline": f"WITH {_ACTIONS} SELECT msg_id, 'DENY' AS decision, 'high' AS label, 'Guard offline' AS findings FROM actions WHERE ticket IS NULL",
     "stream_feed": f"WITH {_LOG} SELECT {_WRITTEN} FROM feed",
     "feed_json": f"""WITH {_LOG} SELECT (row_number() OVER (ORDER BY ts DESC, seq DESC) - 1)::INT AS pos, epoch_us(ts) // 1000 AS ts_ms, kind, ticket, risk::VARCHAR AS risk, preflight, decision, reason, choice,
 secrets::VARCHAR AS secrets, message, port::VARCHAR AS port FROM feed""",

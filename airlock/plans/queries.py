@@ -14,6 +14,7 @@ from airlock.operators import audit, metrics, pages, service, tickets
 from airlock.plans import fixtures
 from airlock.sources import requests
 from airlock.sources.tables import append, append_stream, shared_dir, stream, table
+from airlock.streaming.joins import abandoned_stream, denied_offline_stream
 from airlock.streaming.messages import scan_stream
 from airlock.streaming.tickets import answer_stream, read_answers, read_counters, read_events, read_feed
 
@@ -330,6 +331,51 @@ def stream_feed(spark: SparkSession, d: str) -> DataFrame:
     return _written(read_feed(spark, _answered(spark, d))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def _event_logs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Decides and uses of the events as two streams of files, whose rows come hours late and in disorder."""
+    path, late_ms = _scratch(spark, "logs"), fixtures.LATE_HOURS * 3_600_000
+    end = table(spark, d, "events").agg((F.max("ts").cast("timestamp") + F.expr("INTERVAL 30 DAY")).alias("ts"))
+    decides = fixtures.decides(spark, d).select("ticket", F.col("issued").cast("timestamp").alias("issued"), "seq")
+    uses = fixtures.uses(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    beat = end.select(F.lit("heartbeat").alias("ticket"), "ts", F.lit(-1).cast("long").alias("seq"))
+    fixtures.in_arrival_order(decides, "issued", F.col("seq"), f"{path}/decides", late_ms, beat.withColumnRenamed("ts", "issued"))
+    fixtures.in_arrival_order(uses, "ts", F.col("seq"), f"{path}/uses", late_ms, beat.withColumn("choice", F.lit("DENY")))
+    source = lambda df, name: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/{name}")
+    return source(decides, "decides"), source(uses, "uses")
+
+
+def stream_two_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Answers where decides and uses come as two streams, uses often before the decide they need."""
+    decides, uses = _event_logs(spark, d)
+    rows = decides.select("ticket", F.col("issued").alias("ts"), "seq", F.lit(False).alias("is_use"), F.lit(None).cast("string").alias("choice"))
+    rows = rows.unionByName(uses.withColumn("is_use", F.lit(True)))
+    ttl_ms, path = fixtures.TTL_HOURS * 3_600_000, _scratch(spark, "tickets")
+    answer_stream(rows, path, f"{path}/checkpoint", ttl_ms, retention_ms=8 * ttl_ms, wait_ms=fixtures.LATE_HOURS * 3_600_000).awaitTermination()
+    return read_answers(spark, path).select("seq", "ticket", "choice", "decision", "reason")
+
+
+def stream_abandoned(spark: SparkSession, d: str) -> DataFrame:
+    """Tickets as they expire unused."""
+    decides, uses = _event_logs(spark, d)
+    hour = 3_600_000
+    lost = abandoned_stream(decides, uses, fixtures.TTL_HOURS * hour, fixtures.LATE_HOURS * hour)
+    return _streamed(lost, "abandoned").select("ticket", F.col("issued").cast("timestamp_ntz").alias("issued"), F.col("expires").cast("timestamp_ntz").alias("expires"))
+
+
+def stream_offline(spark: SparkSession, d: str) -> DataFrame:
+    """Actions without a ticket, denied when none can come any more: a message each second, its ticket
+    up to half a minute later, both logs up to a minute late."""
+    path, at = _scratch(spark, "logs"), F.timestamp_millis(F.col("msg_id") * 1000 + fixtures.REQUEST_START_MS)
+    actions = fixtures.actions(spark, d).select("msg_id", at.alias("ts"), "ticket")
+    decides = actions.where("ticket is not null").select("msg_id", (F.col("ts") + F.make_dt_interval(secs=F.col("msg_id") % 30)).alias("issued"))
+    beat = actions.agg(F.lit(-1).cast("long").alias("msg_id"), (F.max("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    fixtures.in_arrival_order(actions.drop("ticket"), "ts", F.col("msg_id"), f"{path}/actions", 60_000, beat)
+    fixtures.in_arrival_order(decides, "issued", F.col("msg_id") + 1, f"{path}/decides", 60_000, beat.withColumnRenamed("ts", "issued"))
+    source = lambda df, name: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/{name}")
+    lone = denied_offline_stream(source(actions.drop("ticket"), "actions"), source(decides, "decides"), "msg_id", wait_ms=30_000, lateness_ms=60_000)
+    return _streamed(lone, "offline").select("msg_id", "decision", "label", "findings")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__.lstrip("_"): f
     for f in (
@@ -338,6 +384,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         send_clicks, compose_choice, base_url_norm, ticket_shape, _decide_requests, secrets_caught, request_intake, request_rejects,
         ticket_decisions, ticket_answers, released_actions, offline_denied, abandoned_tickets, bypass_clicks, audit_log, audit_feed, audit_lines,
         feed_json, user_counters, ticket_meta, meta_agreement, request_to_audit, stream_requests, stats, dashboard_metrics, feed_vs_counters, running_counters, feed_depth, policy_join, stream_scan, stream_tickets,
-        stream_stats, stream_audit, stream_feed,
+        stream_stats, stream_audit, stream_feed, stream_two_logs, stream_abandoned, stream_offline,
     )
 }

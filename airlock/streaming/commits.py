@@ -10,8 +10,9 @@ that was committed is not run again.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from airlock.sources.tables import remove
 
@@ -31,8 +32,22 @@ def last_commit(spark: SparkSession, path: str, fields: str) -> Row | None:
     return newest[0] if newest else None
 
 
+def one_row(spark: SparkSession, fields: str, values: tuple) -> DataFrame:
+    """A table of one row made of literals, in one partition."""
+    schema = StructType.fromDDL(fields)
+    return spark.range(0, 1, 1, 1).select(*(_literal(v, f.dataType).alias(f.name) for v, f in zip(values, schema, strict=True)))
+
+
+def _literal(value, kind: DataType) -> Column:
+    if isinstance(kind, ArrayType):
+        return F.array(*(_literal(v, kind.elementType) for v in value)).cast(kind)
+    if isinstance(kind, StructType):
+        return F.struct(*(_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind, strict=True)))
+    return F.lit(value).cast(kind)
+
+
 def commit(spark: SparkSession, path: str, number: int, fields: str, values: tuple) -> None:
-    spark.createDataFrame([values], fields).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch={number}")
+    one_row(spark, fields, values).write.mode("overwrite").parquet(f"{path}/manifest/batch={number}")
     remove(spark, f"{path}/manifest/batch={number - KEPT}")
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from airlock.functions import catalog as c
@@ -77,9 +77,21 @@ class TicketTable:
         return after, [p["version"] for p in old]
 
 
+def _issue():
+    return (F.col("kind") == "DECIDE") & F.col("ts").isNotNull()
+
+
+def _spent():
+    return (F.col("kind") == "CONSUME") & F.col("reason").isin(c.ALLOWED, c.BLOCKED) & F.col("ts").isNotNull()
+
+
 def learnt_from(events: DataFrame) -> DataFrame:
     """What the events of a batch say of tickets; without a time they say nothing."""
-    events = events.where("ts is not null")
-    issued = events.where("kind = 'DECIDE'").select("ticket", F.col("ts").alias("issued"), F.lit(False).alias("used"), F.col("ts").alias("at"))
-    spent = events.where((F.col("kind") == "CONSUME") & F.col("reason").isin(c.ALLOWED, c.BLOCKED))
-    return issued.unionByName(spent.select("ticket", F.lit(None).cast("timestamp").alias("issued"), F.lit(True).alias("used"), F.col("ts").alias("at")))
+    issued = F.when(_issue(), F.col("ts"))
+    return events.where(_issue() | _spent()).select("ticket", issued.alias("issued"), _spent().alias("used"), F.col("ts").alias("at"))
+
+
+def learnt_sums() -> list[Column]:
+    """How many rows learnt_from gives, and their newest time, as aggregates over the events."""
+    tells = _issue() | _spent()
+    return [F.count_if(tells).alias("rows"), F.max(F.when(tells, F.col("ts"))).alias("newest")]

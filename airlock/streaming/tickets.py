@@ -18,8 +18,8 @@ from airlock.functions import catalog as c
 from airlock.operators import audit, metrics
 from airlock.operators.tickets import decide_uses
 from airlock.sources.tables import remove
-from airlock.streaming.commits import add, commit, committed, last_commit, of_batch
-from airlock.streaming.ticket_table import BUCKETS, PARTS, TicketTable, learnt_from
+from airlock.streaming.commits import add, commit, committed, last_commit, of_batch, one_row
+from airlock.streaming.ticket_table import BUCKETS, PARTS, TicketTable, learnt_from, learnt_sums
 
 #: How long a used or expired ticket is remembered. Later uses of it are unknown instead of expired.
 RETENTION_MS = 10 * c.TICKET_MS
@@ -30,6 +30,12 @@ COUNTED = (*metrics.COUNTERS, "secrets_caught")
 MANIFEST = f"latest timestamp, parts {PARTS}, " + ", ".join(f"{n} long" for n in COUNTED)
 #: What a decide may say besides its ticket and time.
 _SAID = {"risk": "int", "preflight": "string", "said": "string", "secrets": "long"}
+#: The rows of the protocol.
+ROWS = "ticket string, ts timestamp, seq long, is_use boolean, choice string, " + ", ".join(f"{n} {kind}" for n, kind in _SAID.items())
+
+
+def _columns(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
 
 
 def _interval(ms: int):
@@ -53,7 +59,7 @@ def batch_events(rows: DataFrame, known: DataFrame, ttl_ms: int) -> DataFrame:
     return audit.log(audit.decide_events(new), audit.consume_events(decide_uses(tickets, uses, _interval(ttl_ms))))
 
 
-def answer_stream(rows: DataFrame, path: str, checkpoint: str, ttl_ms: int = c.TICKET_MS, retention_ms: int = RETENTION_MS, lateness_ms: int | None = None, every: str | None = None, opened: dt.datetime | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+def answer_stream(rows: DataFrame, path: str, checkpoint: str, ttl_ms: int = c.TICKET_MS, retention_ms: int = RETENTION_MS, lateness_ms: int | None = None, every: str | None = None, opened: dt.datetime | None = None, buckets: int = BUCKETS, wait_ms: int = 0) -> StreamingQuery:
     """Answers the uses in a stream of (ticket, ts timestamp, seq, is_use, choice) and keeps the service's
     tables under a path: read_events, read_answers, read_counters and read_feed read them.
 
@@ -61,6 +67,12 @@ def answer_stream(rows: DataFrame, path: str, checkpoint: str, ttl_ms: int = c.T
     however late. `lateness_ms` is the retention unless given. `every` is an interval between batches
     such as "2 seconds"; without it, what is there now is read. `opened` is the time of a STARTUP event
     in the first batch; without it there is none. `buckets` stays the same for a path.
+
+    With `wait_ms` rows are taken in the order of their times: a row waits until a time so much later
+    has been seen, so uses and decides may come as two streams (united) and in any order within that
+    time, and are answered as the batch form answers them. What waits is a table of its own, as
+    large as that time's rows. Rows that come later still are taken when they come. A stream that ends
+    needs a last row (a decide without a ticket will do) for the ones before it to stop waiting.
     """
     late = retention_ms if lateness_ms is None else lateness_ms
     kept_ms = ttl_ms + retention_ms + late
@@ -71,34 +83,40 @@ def answer_stream(rows: DataFrame, path: str, checkpoint: str, ttl_ms: int = c.T
         if done is not None and done["batch"] >= number:
             return
         missing = {n: F.lit(None).cast(kind) for n, kind in _SAID.items() if n not in batch.columns}
-        rows = batch.withColumns(missing).persist()
+        rows = batch.withColumns(missing).select(*_columns(ROWS))
+        if wait_ms and done is not None:
+            rows = rows.unionByName(of_batch(spark, path, "waiting", ROWS, done["batch"]))
+        rows = rows.persist()
         try:
             _run(spark, rows, number, done)
         finally:
             rows.unpersist()
 
     def _run(spark: SparkSession, rows: DataFrame, number: int, done) -> None:
-        latest = done["latest"] if done else None
+        latest, seen = done["latest"] if done else None, rows.agg(F.max("ts")).first()[0]
+        newest = max((t for t in (latest, seen) if t is not None), default=None)
+        if wait_ms:
+            ready = F.coalesce(F.col("ts") <= F.lit(newest).cast("timestamp") - _interval(wait_ms), F.lit(True))
+            add(rows.where(~ready), path, "waiting", number)
+            rows = rows.where(ready)
         table = TicketTable(spark, path, list(done["parts"]) if done else [], latest - dt.timedelta(milliseconds=kept_ms) if latest else None, buckets)
         mine = rows.where("ticket is not null").groupBy("ticket").agg(F.max("ts").alias("ts"))
-        touched = rows.agg(F.max("ts"), F.collect_set(F.when(F.col("ticket").isNotNull(), table.bucket()))).first()
-        events = batch_events(rows, table.known(mine, touched[1]), ttl_ms)
+        touched = mine.agg(F.collect_set(table.bucket())).first()[0] if table.parts else []
+        events = batch_events(rows, table.known(mine, touched), ttl_ms)
         if opened is not None and number == 0:
-            events = audit.log(audit.startup(spark.createDataFrame([(opened,)], "ts timestamp")), events)
+            events = audit.log(audit.startup(one_row(spark, "ts timestamp", (opened,))), events)
         add(events, path, "events", number)
         written = of_batch(spark, path, "events", EVENTS, number)
 
         shown = written if done is None else written.unionByName(of_batch(spark, path, "feed", EVENTS, done["batch"]))
         add(audit.feed(shown).coalesce(1), path, "feed", number)
-        learnt = learnt_from(written)
-        sums = metrics.counters(written).crossJoin(learnt.agg(F.count("*").alias("rows"), F.max("at").alias("newest"))).first()  # one row each
+        sums = metrics.counters(written, *learnt_sums()).first()
         parts, old = [tuple(p) for p in table.parts], []
         if sums["rows"]:
-            parts, old = table.extended(number, learnt, sums["rows"], sums["newest"])
-        newest = max((t for t in (latest, touched[0]) if t is not None), default=None)
+            parts, old = table.extended(number, learnt_from(written), sums["rows"], sums["newest"])
         commit(spark, path, number, MANIFEST, (newest, parts, *(sums[n] + (done[n] if done else 0) for n in COUNTED)))
         # Nobody needs these any more: a reader that has begun with the manifest before keeps its feed.
-        gone = [f"tickets/batch={v}" for v in old] + ([f"feed/batch={done['batch'] - 1}"] if done else [])
+        gone = [f"tickets/batch={v}" for v in old] + ([f"{t}/batch={done['batch'] - 1}" for t in ("feed", "waiting")] if done else [])
         for folder in gone:
             remove(spark, f"{path}/{folder}")
 
@@ -124,7 +142,7 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
 def read_counters(spark: SparkSession, path: str) -> DataFrame:
     """One row: the five counters as of the last committed batch."""
     done = _last(spark, path)
-    return spark.createDataFrame([tuple(done[n] if done else 0 for n in COUNTED)], ", ".join(f"{n} long" for n in COUNTED))
+    return one_row(spark, ", ".join(f"{n} long" for n in COUNTED), tuple(done[n] if done else 0 for n in COUNTED))
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
