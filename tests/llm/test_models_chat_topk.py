@@ -59,6 +59,44 @@ def test_one_language(spark):
     assert language_id.identify(docs, language_id.train(docs, F.lit(True))).where("lang_pred = 'en'").count() == 1
 
 
+def test_toxicity_with_few_labels(spark):
+    """286 labelled rows, 33 of them toxic: found without learning them by heart. A misspelling that no
+    text holds counts as well, and clean text around toxic text lowers its score but slowly."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    tested = language_id.held_out(parts=3, part=1)
+    model = toxicity.train(docs, labels, ~tested)
+    got = toxicity.score(docs, model).join(labels, "doc_id").where(tested).toPandas()
+    y, s = got["toxic"].to_numpy(), got["score"].to_numpy()
+    flagged = s >= toxicity.THRESHOLD
+    assert y[flagged].mean() > 0.85 and flagged[y == 1].mean() > 0.85
+    ranks = np.argsort(np.argsort(s, kind="stable"), kind="stable") + 1
+    n = y.sum()
+    assert (ranks[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n)) > 0.95
+    clean = " ".join(r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").where(tested & (F.col("lang") == "en")).orderBy("doc_id").limit(40).collect())
+    words = clean.split()
+    mixed = lambda bad, n: " ".join([*words[: n // 2], bad, *words[n // 2 : n]])
+    rows = [(1, mixed("pathetik moronn", 40)), (2, mixed("you idiiot", 30)), (3, " ".join(words[:40])), (4, clean)]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1] > 0.7 and got[2] > 0.7 and got[3] < 0.5 and got[4] < 0.1
+
+
+def test_toxicity_of_one_text_each(spark):
+    """Hardly any labels at all give a model that tells the two apart."""
+    model = toxicity.fit(["you idiot moron", "a calm day", "idiot", ""], np.array([1, 0, 1, 0]))
+    bad, good = model.scores(*_flat(["idiot moron", "a calm day"]))
+    assert 0 <= good < bad <= 1
+    assert 0 <= toxicity.fit(["x", ""], np.array([1, 0])).scores(*_flat(["", "x"])).min()
+
+
+def _flat(texts):
+    import pyarrow as pa
+
+    from airlock.llm.flat import flat
+
+    return flat(pa.array(texts, pa.string()))
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -67,7 +105,7 @@ def test_toxicity_held_out(spark):
     got = toxicity.score(docs, model).join(labels, "doc_id").where(tested).toPandas()
     y, s = got["toxic"].to_numpy(), got["score"].to_numpy()
     flagged = s >= toxicity.THRESHOLD
-    assert y[flagged].mean() > 0.9 and flagged[y == 1].mean() > 0.85
+    assert y[flagged].mean() > 0.9 and flagged[y == 1].mean() > 0.9
     # Text of one kind does not move the score, however long it gets; other columns are not read.
     clean = [r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").where(tested & (F.length("text") > 2000)).orderBy("doc_id").limit(700).collect()]
     joined = [" ".join(clean[:n]) for n in (5, 50, 700)]
