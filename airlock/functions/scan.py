@@ -1,7 +1,7 @@
 """Which patterns and markers a text holds.
 
 Each is one predicate with a literal, so that a scan is a single narrow projection: no UDF, no
-joined catalogue. Where a count or a joined text will do, take that: building the array leaves
+joined catalogue. Patterns are in JavaScript's dialect (see dialect). Where a count or a joined text will do, take that: building the array leaves
 whole-stage code generation.
 """
 
@@ -13,12 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airlock.functions import catalog
+from airlock.functions.dialect import translated
 
 Patterns = Sequence[tuple[str, str]]
 
 
+def _holds(text: Column, pattern: str) -> Column:
+    return text.rlike(translated(pattern))
+
+
 def _named(text: Column, patterns: Patterns) -> list[Column]:
-    return [F.when(text.rlike(rx), F.lit(name)) for name, rx in patterns]
+    return [F.when(_holds(text, rx), F.lit(name)) for name, rx in patterns]
 
 
 def findings(text: Column, patterns: Patterns = catalog.PATTERNS) -> Column:
@@ -38,14 +43,14 @@ def _count(flags: list[Column]) -> Column:
 
 
 def findings_count(text: Column, patterns: Patterns = catalog.PATTERNS) -> Column:
-    return _count([text.rlike(rx) for _, rx in patterns])
+    return _count([_holds(text, rx) for _, rx in patterns])
 
 
 def any_finding(text: Column, patterns: Patterns = catalog.PATTERNS) -> Column:
     """True if one occurs: stops at the first that does."""
     found = F.lit(False)
     for _, rx in patterns:
-        found = found | text.rlike(rx)
+        found = found | _holds(text, rx)
     return F.coalesce(found, F.lit(False))
 
 

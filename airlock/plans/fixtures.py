@@ -36,6 +36,8 @@ PLANTS = (
     "nothing here",
     "plain note",
 )
+#: Signs that are put in the place of spaces.
+WIDE = ("\u00a0", "\ufeff", "\u3000", "\u2009")
 OFFSETS = (0, 150, 1000, 7000)
 HOSTS = ("https://chatgpt.com/c/", "https://chat.openai.com/c/", "https://claude.ai/chat/", "http://claude.ai/chat/", "https://www.chatgpt.com/", "https://platform.openai.com/docs", "https://claudette.example.org/")
 TTL_HOURS = 6

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from airlock.functions import catalog as c
-from airlock.plans.fixtures import OFFSETS, PLANTS, REQUEST_START_MS
+from airlock.functions.dialect import translated
+from airlock.plans.fixtures import OFFSETS, PLANTS, REQUEST_START_MS, WIDE
 
 
 def _q(s: str) -> str:
@@ -21,9 +22,9 @@ def _planted(source: str, key: str, keep: str) -> str:
 
 _DOCS = f"docs AS ({_planted('documents', 'doc_id', 'doc_id')})"
 _MESSAGES = f"messages AS ({_planted('(SELECT *, conv_id * 1000 + turn AS msg_id FROM conversations)', 'msg_id', 'msg_id, conv_id, role')})"
-_HITS = [f"CASE WHEN regexp_matches(t, {_q(rx)}) THEN {_q(name)} END" for name, rx in c.PATTERNS]
+_HITS = [f"CASE WHEN regexp_matches(t, {_q(translated(rx, 're2'))}) THEN {_q(name)} END" for name, rx in c.PATTERNS]
 _FINDINGS = f"concat_ws(', ', {', '.join(_HITS)})"
-_N_FINDINGS = "(" + " + ".join(f"regexp_matches(t, {_q(rx)})::INT" for _, rx in c.PATTERNS) + ")"
+_N_FINDINGS = "(" + " + ".join(f"regexp_matches(t, {_q(translated(rx, 're2'))})::INT" for _, rx in c.PATTERNS) + ")"
 _MARKERS = "concat_ws(', ', " + ", ".join(f"CASE WHEN contains(low, {_q(m)}) THEN {_q(m)} END" for m in c.MARKERS) + ")"
 _SCORE = "least(100, 10 + CASE WHEN findings <> '' THEN 75 ELSE 0 END + CASE WHEN length > 2500 THEN 15 ELSE 0 END + CASE WHEN length > 5000 THEN 10 ELSE 0 END)"
 _LABEL = "CASE WHEN score >= 85 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'low' END"
@@ -125,6 +126,8 @@ _REQUEST_LOG = f"""SELECT ts, seq, 'DECIDE' AS kind, ticket, risk::VARCHAR AS ri
 UNION ALL SELECT ts, seq, 'CONSUME', ticket, NULL, NULL, reason, NULL, decision, choice, NULL, NULL FROM answered"""
 
 ORACLE_SQL: dict[str, str] = {
+    "scan_wide_spaces": f"""WITH {_DOCS}, cut AS (SELECT doc_id, substr(replace(msg, ' ', {_case(f"doc_id % {len(WIDE)}", WIDE)}), 1, 6000) AS t FROM docs)
+SELECT doc_id, {_FINDINGS} AS findings, {_N_FINDINGS} AS n_findings FROM cut""",
     "scan_findings": f"WITH {_DOCS}, cut AS (SELECT doc_id, substr(msg, 1, 6000) AS t FROM docs) SELECT doc_id, {_FINDINGS} AS findings, {_N_FINDINGS} AS n_findings FROM cut",
     "scan_findings_conversations": f"WITH {_MESSAGES}, cut AS (SELECT msg_id, substr(msg, 1, 6000) AS t FROM messages) SELECT msg_id, {_FINDINGS} AS findings, {_N_FINDINGS} AS n_findings FROM cut",
     "scan_exploded": f"""WITH {_DOCS}, cut AS (SELECT doc_id, substr(msg, 1, 6000) AS t FROM docs), l AS (SELECT doc_id, [x FOR x IN [{", ".join(_HITS)}] IF x IS NOT NULL] AS f FROM cut),

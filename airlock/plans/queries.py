@@ -45,6 +45,14 @@ def scan_findings_conversations(spark: SparkSession, d: str) -> DataFrame:
     return _cut(fixtures.messages(spark, d), ["msg_id"]).select("msg_id", scan.findings_text(t).alias("findings"), scan.findings_count(t).alias("n_findings"))
 
 
+def scan_wide_spaces(spark: SparkSession, d: str) -> DataFrame:
+    """Findings where every space of a message is another sign that browsers count as white space."""
+    wide = fixtures.pick(F.col("doc_id") % len(fixtures.WIDE), fixtures.WIDE)
+    t = F.col("t")
+    cut = _cut(fixtures.documents(spark, d).select("doc_id", F.replace("msg", F.lit(" "), wide).alias("msg")), ["doc_id"])
+    return cut.select("doc_id", scan.findings_text(t).alias("findings"), scan.findings_count(t).alias("n_findings"))
+
+
 def scan_exploded(spark: SparkSession, d: str) -> DataFrame:
     return scan.exploded(_cut(fixtures.documents(spark, d), ["doc_id"]), "doc_id", "t")
 
@@ -379,7 +387,7 @@ def stream_offline(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__.lstrip("_"): f
     for f in (
-        scan_findings, scan_findings_conversations, scan_exploded, scan_pattern_counts, marker_scan, risk_message, risk_preview,
+        scan_findings, scan_findings_conversations, scan_wide_spaces, scan_exploded, scan_pattern_counts, marker_scan, risk_message, risk_preview,
         risk_full_text_service, alert_texts, score_label_counts, agreement_matrix, product_of_host, protected_pages, badge_pages,
         send_clicks, compose_choice, base_url_norm, ticket_shape, _decide_requests, secrets_caught, request_intake, request_rejects,
         ticket_decisions, ticket_answers, released_actions, offline_denied, abandoned_tickets, bypass_clicks, audit_log, audit_feed, audit_lines,
