@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlock.functions import catalog as c
+from airlock.sources.tables import kept
 
 COUNTERS = ("total", "allowed", "denied", "replay_blocked")
 
@@ -50,37 +51,48 @@ def displayed(stats: DataFrame) -> DataFrame:
     return stats.withColumns(shown)
 
 
+_IN_PART = (1 << 33) - 1
+
+
+def _counted(events: DataFrame, parts: int | None = None) -> DataFrame:
+    """running(), with the part of the log that an event is in and its place there (from 0)."""
+    flagged = events.select("ts", "seq", "kind", *(F.coalesce(f, F.lit(False)).cast("long").alias(n) for n, f in _flags().items()))
+    dealt = flagged.repartitionByRange(parts, "ts", "seq").sortWithinPartitions("ts", "seq") if parts else flagged.orderBy("ts", "seq")
+    rows = kept(dealt.withColumn("_row", F.monotonically_increasing_id()), "log")
+    cut = rows.withColumns({"_part": F.shiftright("_row", 33), "_at": F.col("_row").bitwiseAND(_IN_PART)})
+    names = ("position", *COUNTERS)
+    totals = cut.groupBy("_part").agg(F.count("*").alias("position"), *(F.sum(n).alias(n) for n in COUNTERS))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    base = totals.select("_part", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in names))
+    inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = cut.select("ts", "seq", "kind", "_part", "_at", (F.col("_at") + 1).alias("position"), *(F.sum(n).over(inside).alias(n) for n in COUNTERS))
+    return sums.join(F.broadcast(base), "_part").select("ts", "seq", "kind", "_part", "_at", *((F.col(n) + F.col(f"_{n}")).alias(n) for n in names))
+
+
 def running(events: DataFrame, parts: int | None = None) -> DataFrame:
     """Each event with its position in the log (from 1) and the counters as of it.
 
-    Two levels: sums inside parts of the log, plus the totals of all earlier parts. The parts are
-    ranges of time that hold about as many events each, whatever bursts the log has; there are as
-    many as shuffle partitions, and only their bounds come to the driver.
+    Two levels: sums inside parts of the log, plus the totals of all earlier parts. The parts are those
+    of one sort by time and number, so they hold about as many events each, also where a burst has them
+    all at one instant. Events without a time come first.
     """
-    flagged = events.select("ts", "seq", "kind", *(F.coalesce(f, F.lit(False)).cast("long").alias(n) for n, f in _flags().items()))
-    parts = parts or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    bounds = flagged.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else None
-    part = F.size(F.filter(F.array(*(F.lit(b) for b in sorted(set(bounds)))), lambda b: b <= F.col("_at"))) if bounds else F.lit(0)
-    cut = flagged.withColumn("_at", F.coalesce(at, F.lit(-(1 << 63)))).withColumn("_b", part).drop("_at").withColumn("position", F.lit(1).cast("long"))
-    names = ("position", *COUNTERS)
-    totals = cut.groupBy("_b").agg(*(F.sum(n).alias(n) for n in names))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("_b", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in names))
-    inside = Window.partitionBy("_b").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = cut.select("ts", "seq", "kind", "_b", *(F.sum(n).over(inside).alias(n) for n in names))
-    return sums.join(F.broadcast(base), "_b").select("ts", "seq", "kind", *((F.col(n) + F.col(f"_{n}")).alias(n) for n in names))
+    return _counted(events).drop("_part", "_at")
 
 
-def feed_depth(events: DataFrame, rows: int = c.FEED_ROWS) -> DataFrame:
+def feed_depth(events: DataFrame, rows: int = c.FEED_ROWS, parts: int | None = None) -> DataFrame:
     """As of each event: how many rows the feed has and what a display counts in them.
 
-    A feed of the last rows is the running counters less those of `rows` events ago, found by
-    position: an equi-join instead of a window over the whole log.
+    A feed of the last rows is the running counters less those of `rows` events ago. Those are found in
+    the event's own part of the log, by a shift; only the first `rows` events of each part look them up
+    by position.
     """
-    now = running(events)
-    past = now.select((F.col("position") + rows).alias("position"), *(F.col(n).alias(f"_{n}") for n in COUNTERS))
-    both = now.join(past, "position", "left")
+    now = kept(_counted(events, parts), "running")
+    inside = Window.partitionBy("_part").orderBy("_at")
+    shifted = now.select("seq", "kind", "position", "_at", *COUNTERS, *(F.lag(n, rows).over(inside).alias(f"_{n}") for n in COUNTERS))
+    far = now.where(F.col("_at") < rows).select((F.col("position") - rows).alias("position"))
+    past = now.join(far, "position", "left_semi").select((F.col("position") + rows).alias("position"), *(F.col(n).alias(f"_{n}") for n in COUNTERS))
+    early = shifted.where(F.col("_at") < rows).drop(*(f"_{n}" for n in COUNTERS)).join(past, "position", "left")
+    both = shifted.where(F.col("_at") >= rows).unionByName(early)
     return both.select("seq", "kind", F.least("position", F.lit(rows)).alias("depth"), *((F.col(n) - F.coalesce(f"_{n}", F.lit(0))).alias(f"feed_{n}") for n in COUNTERS))
 
 

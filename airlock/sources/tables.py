@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -38,6 +39,13 @@ def stream(spark: SparkSession, directory: str, name: str, files_per_batch: int
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(directory) if one_file else reader.parquet(path)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once, written to the shared folder and read back."""
+    path = f"{shared_dir(df.sparkSession)}/airlock-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append(df: DataFrame, path: str) -> None:
     """Appends rows to an audit table."""
     df.write.mode("append").parquet(path)
