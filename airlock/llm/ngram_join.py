@@ -119,6 +119,19 @@ def _common(h: np.ndarray, edges: np.ndarray, p: np.ndarray, q: np.ndarray) -> n
     return out
 
 
+def _by_node(linked: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Nodes of the rows with their numbers of partners among the columns' nodes, and the other way
+    round; a node may have several sets."""
+    (rows, row), (columns, column) = np.unique(p, return_inverse=True), np.unique(q, return_inverse=True)
+    if rows.size < p.size or columns.size < q.size:
+        s, t = np.nonzero(linked)
+        linked = np.zeros((rows.size, columns.size), bool)
+        linked[row[s], column[t]] = True
+    else:
+        linked = linked[np.ix_(np.argsort(p), np.argsort(q))]
+    return (rows, linked.sum(axis=1).astype(np.int64)), (columns, linked.sum(axis=0).astype(np.int64))
+
+
 class NgramJoin:
     """Similarity join of `docs` on sets of `n` consecutive words, in whole numbers: two sets link
     if 100 * intersection >= percent * union."""
@@ -238,7 +251,9 @@ class NgramJoin:
         return found
 
     def _linked_within(self, label: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-        """All pairs (x, y) of similar sets among the nodes of each label that has three or more."""
+        """(node, n): to how many others of its label a node is similar, for each two blocks of a label's
+        nodes that meet, of labels with three nodes or more. Pairs are counted where they meet, and
+        never written: a label gives as many rows as nodes times blocks."""
         percent = self.percent
         members = label.join(nodes.groupBy("node").agg(F.sum("size").alias("size")), "node")
         large = members.groupBy("label").agg(F.count("*").alias("k"), F.sum("size").alias("size")).where("k > 2")
@@ -261,12 +276,14 @@ class NgramJoin:
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
             p, q = np.flatnonzero(block == i), np.flatnonzero(block == j)
             common, size = _common(h, edges, p, q), np.diff(edges)
-            s, t = np.nonzero(100 * common >= percent * (size[p][:, None] + size[q][None, :] - common))
-            ends = np.sort(np.stack([node[p[s]], node[q[t]]], axis=1), axis=1)
-            ends = np.unique(ends[ends[:, 0] < ends[:, 1]], axis=0)
-            return pa.table([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["x", "y"])
-
-        found = written(spread.groupBy("label", "i", "j").applyInArrow(run, "x long, y long"), name)
+            linked = 100 * common >= percent * (size[p][:, None] + size[q][None, :] - common)
+            linked &= node[p][:, None] != node[q][None, :]
+            left, right = _by_node(linked, node[p], node[q])
+            if i == j:
+                return pa.table([pa.array(left[0]), pa.array(left[1])], ["node", "n"])
+            return pa.table([pa.array(np.concatenate([left[0], right[0]])), pa.array(np.concatenate([left[1], right[1]]))], ["node", "n"])
+
+        found = written(spread.groupBy("label", "i", "j").applyInArrow(run, "node long, n long").where("n > 0"), name)
         for done in (made, placed, large):
             discard(done)
         return found
@@ -318,8 +335,9 @@ class NgramJoin:
         if count_links:
             # Of a label with two nodes the star's link is the only one.
             pairs = star_label.groupBy("label").count().where("count = 2").select(F.col("label").alias("x"))
-            links = self._linked_within(star_label, nodes, "links").unionByName(rest).unionByName(stars.join(pairs, "x", "left_semi"))
-            degree = links.select(F.col("x").alias("node")).union(links.select("y")).groupBy("node").agg(F.count("*").alias("n_links"))
+            links = rest.unionByName(stars.join(pairs, "x", "left_semi"))
+            ends = links.select(F.col("x").alias("node")).union(links.select("y")).withColumn("n", F.lit(1).cast("long"))
+            degree = ends.unionByName(self._linked_within(star_label, nodes, "links")).groupBy("node").agg(F.sum("n").alias("n_links"))
             known = known.join(degree, "node", "left")
         else:
             known = known.withColumn("n_links", F.lit(None).cast("long"))
