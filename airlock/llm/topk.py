@@ -1,10 +1,11 @@
 """Exact top-k search by inner product, a block at a time.
 
-Vectors are held in blocks of consecutive ids: a forward index of the block's vectors and, for each
+Vectors are held in blocks of so many rows in the order of their ids: a forward index of the block's vectors and, for each
 component ("term"), its greatest and least value. A query's score with any vector of a block is at
 most the sum over components of what the extreme value can add. Queries travel in chunks.
 
-Bounds come first, from the blocks' extremes alone. Each query's block of the highest bound is
+Bounds come first, from the blocks' extremes alone; where blocks are many, from the extremes of groups
+of blocks before that, and only the blocks of groups that are admitted are looked at. Each query's block of the highest bound is
 scored, which gives it a k-th score; then only the blocks whose bound reaches that score for some
 query of a chunk are sent to the chunk. There, each query visits blocks in the order of their bounds
 and stops when the bound falls below its k-th score so far.
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from airlock.llm.ranks import ranked
 from airlock.llm.store import written
 
 SCALE = 1024
@@ -108,9 +110,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     whole = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & (F.abs(v.cast("double")) < F.lit(float("inf"))))
     clean = vectors.where(F.col(id_col).isNotNull() & whole).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(vector_col).alias("_x"))
     number = F.transform("_x", lambda v: F.floor(v.cast("double") * SCALE).cast("long"))
-    block = F.floor(F.col("_id") / BLOCK_ROWS)
     flags = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), is_query.alias("_q")).where("_q").distinct()
-    table = written(clean.select("_id", number.alias("_x"), block.alias("_block")), "vectors")
+    placed = ranked(clean.select("_id", number.alias("_x")), [], [F.col("_id").asc()], "vectors")
+    table = written(placed.select("_id", "_x", F.floor((F.col("rank") - 1) / BLOCK_ROWS).alias("_block")), "blocks")
     asked = table.join(flags, "_id", "left_semi").select(F.col("_id").alias("_qid"), F.col("_x").alias("_qx"))
     chunks = -(-asked.count() // CHUNK_QUERIES)
     if chunks == 0:
@@ -124,10 +126,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
 
     extremes = written(table.groupBy("_block").applyInArrow(extremes_of, "_block long, high array<long>, low array<long>, dims long"), "extremes")
     blocks, widest = extremes.agg(F.count("*"), F.max("dims")).first()
-    groups = -(-blocks // BOUND_BLOCKS)
     size = max(1, min(PART_BLOCKS, blocks // (3 * vectors.sparkSession.sparkContext.defaultParallelism)))
-    extremes = extremes.select("_block", "high", "low", F.pmod(F.xxhash64("_block"), F.lit(groups)).alias("_group"))
-    places = asked.select("_chunk").distinct().withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    extremes = extremes.select("_block", "high", "low", F.floor(F.col("_block") / BOUND_BLOCKS).alias("_group"))
+    chunk_ids = asked.select("_chunk").distinct()
+
+    def top_of(rows: pa.Table) -> pa.Table:
+        high, low = _matrix(rows, "high", widest).max(0), _matrix(rows, "low", widest).min(0)
+        return pa.table({"_block": rows.column("_group").slice(0, 1), "high": pa.array([high.astype(np.int64).tolist()], pa.list_(pa.int64())), "low": pa.array([low.astype(np.int64).tolist()], pa.list_(pa.int64()))})
+
+    tops = None
+    if blocks > BOUND_BLOCKS:
+        tops = written(extremes.groupBy("_group").applyInArrow(top_of, "_block long, high array<long>, low array<long>"), "tops", small=True).withColumn("_group", F.floor(F.col("_block") / BOUND_BLOCKS))
 
     def admit(first: bool) -> Callable:
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -141,10 +150,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
 
         return run
 
-    def needed(queries: DataFrame, first: bool) -> DataFrame:
-        rows = places.join(extremes, "_group")
+    def compared(rows: DataFrame, places: DataFrame, queries: DataFrame, first: bool) -> DataFrame:
+        sent = places.join(rows, "_group")
         calls = places.join(queries, "_chunk").select(F.col("_group").alias("_to"), F.col("_chunk").alias("_from"), "_qx", "_floor")
-        return rows.groupBy("_group", "_chunk").cogroup(calls.groupBy("_to", "_from")).applyInArrow(admit(first), "_chunk long, _block long")
+        return sent.groupBy("_group", "_chunk").cogroup(calls.groupBy("_to", "_from")).applyInArrow(admit(first), "_chunk long, _block long")
+
+    def needed(queries: DataFrame, first: bool) -> DataFrame:
+        """The (chunk, block) pairs that queries need, by way of the groups that they need."""
+        if tops is None:
+            return compared(extremes, chunk_ids.withColumn("_group", F.lit(0).cast("long")), queries, first)
+        above = -(-(-(-blocks // BOUND_BLOCKS)) // BOUND_BLOCKS)
+        all_tops = chunk_ids.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(above - 1).cast("long"))))
+        groups = written(compared(tops, all_tops, queries, first), "groups", small=True)
+        return compared(extremes, groups.select("_chunk", F.col("_block").alias("_group")), queries, first)
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
@@ -167,8 +185,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     ahead = written(needed(asked, first=True), "ahead")
     seen = written(scored(ahead, asked), "seen")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    kth = ranked(seen).groupBy(F.col("query_id").alias("_qid")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(_NONE)).alias("_kth"))
+    first_k = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    kth = first_k(seen).groupBy(F.col("query_id").alias("_qid")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(_NONE)).alias("_kth"))
     floored = asked.join(kth, "_qid", "left").withColumn("_floor", F.coalesce("_kth", F.lit(_NONE))).drop("_kth")
     rest = written(needed(floored, first=False).join(ahead, ["_chunk", "_block"], "left_anti"), "rest")
-    return ranked(seen.unionByName(scored(rest, floored))).select("query_id", "rank", "vec_id", "score")
+    return first_k(seen.unionByName(scored(rest, floored))).select("query_id", "rank", "vec_id", "score")
