@@ -40,7 +40,7 @@ BROADCAST_BYTES = 16 << 20
 #: Sets of a tile that meet in one group; a larger tile is dealt into blocks, and every two of them meet.
 TILE_SETS = 4096
 #: Sets and shingles of a block of a component, about: two blocks at a time are compared by one group.
-BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 19
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 19
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int, fold_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
