@@ -206,6 +206,7 @@ def _weights(rows: _Examples, used: np.ndarray) -> np.ndarray:
 def _learn(rows: _Examples, bag: np.ndarray, used: np.ndarray, evidence: np.ndarray, least: float, rounds: int, rate: float, seed: int) -> tuple[np.ndarray, float, np.ndarray]:
     """Embeddings and softmax from the used rows, by full-batch steps with momentum estimates. Gives one
     number for each n-gram (the difference of its two logits), that of the biases, and all rows' logits."""
+    least = min(least, evidence.max() / 2)  # hardly any texts give no more evidence than that
     grams = np.flatnonzero(evidence > least)
     freely = np.minimum((evidence[grams] - least) / _EVIDENCE_SPAN, 1)[:, None]
     few = rows.within(grams)
@@ -250,6 +251,8 @@ def _scaled(logit: np.ndarray, label: np.ndarray, cut: float) -> tuple[float, fl
 def _cut_at(logit: np.ndarray, label: np.ndarray) -> float:
     """The logit from which left-out texts are best called toxic: the middle of the cuts whose precision
     and recall together (F1) are highest."""
+    if logit.min() == logit.max():  # they tell nothing: nothing is toxic
+        return float(logit.max()) - _PRIOR
     order = np.argsort(-logit, kind="stable")
     z, hits = logit[order], np.cumsum(label[order])
     f1 = 2 * hits / (np.arange(1, z.size + 1) + max(1.0, label.sum()))
