@@ -368,9 +368,10 @@ class NgramJoin:
         maps = sets.join(nodes.select(F.col("node").alias("_doc"), "a", "b"), ["_doc", "a", "b"], "left_semi").select(F.col("_doc").alias("node"), "a", "size", "bitmap", *(f"m{k}" for k in range(_FOLDED)))
         maps = written(maps.dropDuplicates(["node", "a"]), "bitmaps")
         # A set is in the tile of its own size band and in that of the next: sets of similar size meet.
-        tiles = found.join(maps.select("node", "a", *(f"m{k}" for k in range(_FOLDED))), "a")
-        tiles = tiles.withColumn("tile", F.explode(F.array(band, band + 1))).select("token", "tile", "node", "size", "place", *(f"m{k}" for k in range(_FOLDED)))
-        tiles = written(tiles, "tiles")
+        columns = ["node", "size", "place", *(f"m{k}" for k in range(_FOLDED))]
+        stored = found.join(maps.select("node", "a", *(f"m{k}" for k in range(_FOLDED))), "a").select("token", band.alias("band"), *columns)
+        stored = written(stored, "tiles")
+        tiles = stored.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("tile"), *columns)
 
         tile = [F.col(f"t.{c}") == F.col(f"f.{c}") for c in ("token", "tile")]
         least = tiles.groupBy("token", "tile").agg(F.min("node").alias("node"))
@@ -396,7 +397,7 @@ class NgramJoin:
         met = p.join(q, together & fits).select(F.least("p.node", "q.node").alias("x"), F.greatest("p.node", "q.node").alias("y"))
         rest = met.distinct().join(tried, ["x", "y"], "left_anti")
         rest = self._possible(rest, maps, "rest")
-        for done in (named, tiles, maps, tried):
+        for done in (named, stored, maps, tried):
             discard(done)
         return links, rest if rest.isEmpty() else self._linked(rest, nodes, "rest-links"), label
 
