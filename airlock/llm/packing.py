@@ -25,6 +25,8 @@ CAPACITY = 2048
 #: Remainders under this are not cut further.
 SMALLEST_CUT = 128
 END_ID = 1
+#: Texts that are packed at a time: their ids are held several times over.
+ROWS = 250
 _SEQUENCE_BITS = 32
 
 
@@ -122,8 +124,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         base = TaskContext.get().partitionId() << _SEQUENCE_BITS
         used, left = 0, None
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
                 ids, offs = enc.encode(part.column(1))
                 n = np.diff(offs) + 1
                 ids = np.insert(ids, offs[1:], end_id)
@@ -138,6 +140,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                     yield done.rows(base + used + sequence, _offsets(done.length, sequence), names)
                     used += int(sequence[-1]) + 1
                 left = left.take(others)
+            # Arrow would keep what earlier batches and tasks of this worker have freed.
+            pa.default_memory_pool().release_unused()
         if left and left.length.size:
             done, sequence = _recut(left, capacity)
             yield done.rows(base + used + sequence, _offsets(done.length, sequence), names)
