@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airlock.llm.flat import flat, lowered, mix, pieces, prefix, ranges, span_hash, word_hashes, words
@@ -360,47 +360,64 @@ class NgramJoin:
         """Links (x, y) of tiles' sets to their least ones, all links between the components of these,
         and these components as (node, label)."""
         postings = self._postings(int(sets.agg(F.sum("size")).first()[0] or 0))
-        shared = postings.groupBy("token").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("token")
+        # A set is in the tile of its own size band and in that of the next: sets of similar size meet.
+        # Only tiles that hold two different sets are kept; bands of a token say which, so each posting moves once.
         step = -math.log(self.percent / 100)
-        band = F.floor(F.log("size") / F.lit(step))
-        found = postings.join(shared, "token").select("token", "a", "at").distinct()
+        found = postings.repartition("token").distinct()
         found = found.select("token", "a", F.shiftright("at", 32).alias("size"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("place"))
-        maps = sets.join(nodes.select(F.col("node").alias("_doc"), "a", "b"), ["_doc", "a", "b"], "left_semi").select(F.col("_doc").alias("node"), "a", "size", "bitmap", *(f"m{k}" for k in range(_FOLDED)))
+        found = found.withColumn("band", F.floor(F.log("size") / F.lit(step)))
+        bands = Window.partitionBy("token").orderBy("band")
+
+        def rows_in(first: int, last: int) -> Column:
+            over = bands.rangeBetween(first, last)
+            return F.when(F.min("a").over(over) < F.max("a").over(over), F.count("*").over(over).cast("int"))
+
+        found = found.withColumns({"own": rows_in(-1, 0), "next": rows_in(0, 1)}).where("own is not null or next is not null")
+        folded = [f"m{k}" for k in range(_FOLDED)]
+        maps = sets.join(nodes.select(F.col("node").alias("_doc"), "a", "b"), ["_doc", "a", "b"], "left_semi").select(F.col("_doc").alias("node"), "a", "size", "bitmap", *folded)
         maps = written(maps.dropDuplicates(["node", "a"]), "bitmaps")
-        # A set is in the tile of its own size band and in that of the next: sets of similar size meet.
-        columns = ["node", "size", "place", *(f"m{k}" for k in range(_FOLDED))]
-        stored = found.join(maps.select("node", "a", *(f"m{k}" for k in range(_FOLDED))), "a").select("token", band.alias("band"), *columns)
-        stored = written(stored, "tiles")
-        tiles = stored.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("tile"), *columns)
-
-        tile = [F.col(f"t.{c}") == F.col(f"f.{c}") for c in ("token", "tile")]
-        least = tiles.groupBy("token", "tile").agg(F.min("node").alias("node"))
-        firsts = tiles.join(least, ["token", "tile", "node"]).alias("f")
-        differ = sum((F.bit_count(F.col(f"t.m{k}").bitwiseXOR(F.col(f"f.m{k}"))) for k in range(1, _FOLDED)), F.bit_count(F.col("t.m0").bitwiseXOR(F.col("f.m0"))))
-        fits = (F.col("f.node") < F.col("t.node")) & self._similar_size("t.size", "f.size") & self._few_differences("t.size", "f.size", differ)
-        stars = tiles.alias("t").join(firsts, [*tile, fits]).select(F.col("f.node").alias("x"), F.col("t.node").alias("y")).distinct()
+        columns = ["node", "size", "place", *folded]
+        stored = written(found.join(maps.select("node", "a", *folded), "a").select("token", "band", "own", "next", *columns), "tiles")
+        held = lambda rows, tile: F.when(F.col(rows).isNotNull(), F.struct(tile.alias("tile"), F.col(rows).alias("rows")))
+        both = F.array_compact(F.array(held("own", F.col("band")), held("next", F.col("band") + 1)))
+        tiles = stored.select("token", F.explode(both).alias("t"), *columns).select("token", "t.tile", "t.rows", *columns)
+
+        together = Window.partitionBy("token", "tile")
+        firsts = tiles.withColumn("f", F.min(F.struct("node", "size", *folded)).over(together))
+        differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"f.{m}"))) for m in folded[1:]), F.bit_count(F.col("m0").bitwiseXOR(F.col("f.m0"))))
+        fits = (F.col("f.node") < F.col("node")) & self._similar_size("size", "f.size") & self._few_differences("size", "f.size", differ)
+        stars = firsts.where(fits).select(F.col("f.node").alias("x"), F.col("node").alias("y")).distinct()
         tried = self._possible(stars, maps, "stars")
         links = self._linked(tried, nodes, "star-links")
 
         label = least_reachable(links, "star-component")
         named = tiles.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        several = named.groupBy("token", "tile").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n")).where("l < m")
-        several = several.select("token", "tile", F.ceil(F.col("n") / TILE_SETS).cast("int").alias("blocks"))
-        block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-        named = written(named.join(several, ["token", "tile"]).withColumn("block", block), "open-tiles")
-        p = named.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).alias("p")
-        q = named.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block")))).alias("q")
-        differ = sum((F.bit_count(F.col(f"p.m{k}").bitwiseXOR(F.col(f"q.m{k}"))) for k in range(1, _FOLDED)), F.bit_count(F.col("p.m0").bitwiseXOR(F.col("q.m0"))))
-        together = (F.col("p.token") == F.col("q.token")) & (F.col("p.tile") == F.col("q.tile")) & (F.col("p.i") == F.col("q.i")) & (F.col("p.j") == F.col("q.j"))
-        once = (F.col("p.i") < F.col("p.j")) | (F.col("p.node") < F.col("q.node"))
-        fits = once & (F.col("p.label") != F.col("q.label")) & self._early_enough("p", "q") & self._similar_size("p.size", "q.size") & self._few_differences("p.size", "q.size", differ)
-        met = p.join(q, together & fits).select(F.least("p.node", "q.node").alias("x"), F.greatest("p.node", "q.node").alias("y"))
-        rest = met.distinct().join(tried, ["x", "y"], "left_anti")
-        rest = self._possible(rest, maps, "rest")
-        for done in (named, stored, maps, tried):
+        none_large = stored.where(F.greatest("own", "next") > TILE_SETS).isEmpty()
+        open_tiles = lambda df: df.withColumns({"l": F.min("label").over(together), "m": F.max("label").over(together)}).where("l < m").drop("l", "m")
+        # Both sides of a small tile are one exchange; a large one is dealt into blocks.
+        small = open_tiles(named if none_large else named.where(F.col("rows") <= TILE_SETS)).drop("rows")
+        rest = self._met(small.alias("p"), small.alias("q"), F.col("p.node") < F.col("q.node"), ["token", "tile"])
+        if not none_large:
+            blocks = open_tiles(named.where(F.col("rows") > TILE_SETS)).withColumn("blocks", F.ceil(F.col("rows") / TILE_SETS).cast("int"))
+            large = written(blocks.drop("rows").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "open-tiles")
+            p = large.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).alias("p")
+            q = large.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block")))).alias("q")
+            once = (F.col("p.i") < F.col("p.j")) | (F.col("p.node") < F.col("q.node"))
+            rest = rest.unionByName(self._met(p, q, once, ["token", "tile", "i", "j"]))
+        rest = rest.distinct()
+        rest = self._possible(rest.join(tried, ["x", "y"], "left_anti"), maps, "rest")
+        for done in (stored, maps, tried) if none_large else (large, stored, maps, tried):
             discard(done)
         return links, rest if rest.isEmpty() else self._linked(rest, nodes, "rest-links"), label
 
+    def _met(self, p: DataFrame, q: DataFrame, once: Column, keys: list[str]) -> DataFrame:
+        """Pairs (x, y) of sets p and q that share the keys and have different labels, as far as sizes,
+        places and folded bitmaps allow a link."""
+        differ = sum((F.bit_count(F.col(f"p.m{k}").bitwiseXOR(F.col(f"q.m{k}"))) for k in range(1, _FOLDED)), F.bit_count(F.col("p.m0").bitwiseXOR(F.col("q.m0"))))
+        together = [F.col(f"p.{k}") == F.col(f"q.{k}") for k in keys]
+        fits = once & (F.col("p.label") != F.col("q.label")) & self._early_enough("p", "q") & self._similar_size("p.size", "q.size") & self._few_differences("p.size", "q.size", differ)
+        return p.join(q, [*together, fits]).select(F.least("p.node", "q.node").alias("x"), F.greatest("p.node", "q.node").alias("y"))
+
 
 def least_reachable(links: DataFrame, name: str) -> DataFrame:
     """(node, label) of every node in the links (x, y): the least node that it is connected to.
