@@ -31,8 +31,9 @@ BITMAP_BITS = 1024
 _FOLDED = 4
 #: Shingles are counted in slots to tell frequent from rare ones; only the order in which shingles
 #: are looked at depends on it. There are as many slots as keep a slot's share of all shingles near
-#: SLOT_SHINGLES, within these powers of two.
-SLOT_SHINGLES, SLOT_BITS = 1024, (16, 22)
+#: SLOT_SHINGLES, within these powers of two. What a slot holds beyond its share tells a shingle of
+#: more documents than SLOT_NOISE times the share's square root.
+SLOT_SHINGLES, SLOT_BITS, SLOT_PART, SLOT_NOISE = 32, (16, 22), 1 << 12, 4
 #: Ids that are broadcast to pick documents out; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 #: Bytes of bitmaps that are broadcast to the pairs they belong to; more are joined by a shuffle.
@@ -158,24 +159,32 @@ class NgramJoin:
         return tagged.mapInArrow(run, "_doc long, t long, size long, a long, b long, bitmap array<long>, " + ", ".join(f"{m} long" for m in folded))
 
     def _slot_levels(self, total: int) -> tuple[np.ndarray, int]:
-        """How many doublings above the common count each slot of shingles is, and the slots' bits;
-        `total` is the number of all shingles."""
+        """How many doublings above what slots differ by at random each slot of shingles is, and the
+        slots' bits; `total` is the number of all shingles. Tasks send their counts as arrays of
+        SLOT_PART slots in as few bytes as hold them."""
         n, bits = self.n, min(SLOT_BITS[1], max(SLOT_BITS[0], (total // SLOT_SHINGLES).bit_length()))
+        mean, part = max(total / (1 << bits), 1), min(SLOT_PART, 1 << bits)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            count = np.zeros(1 << bits, np.int32)
+            count = np.zeros(1 << bits, np.uint32)
             for _, h, _ in _batches(batches, n):
                 at, times = np.unique((h >> np.uint64(64 - bits)).astype(np.int32), return_counts=True)
-                count[at] += times.astype(np.int32)
-            slot = np.flatnonzero(count)
-            for k in range(0, slot.size, 1 << 16):
-                part = slot[k : k + (1 << 16)]
-                yield pa.record_batch([pa.array(part), pa.array(count[part].astype(np.int64))], ["slot", "n"])
-
-        counted = self.docs.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # a row for each slot
-        count = np.zeros(1 << bits)
-        count[counted["slot"].to_numpy()] = counted["n"].to_numpy()
-        return np.floor(np.log2(np.maximum(count / max(count.mean(), 1) / 2, 1))).astype(np.uint8), bits
+                count[at] += times.astype(np.uint32)
+            for k, some in enumerate(count.reshape(-1, part)):
+                if some.any():
+                    yield pa.record_batch([pa.array([k], pa.int32()), pa.array([some.astype(np.min_scalar_type(int(some.max()))).tobytes()], pa.binary())], ["part", "counts"])
+
+        def levels(group: pa.Table) -> pa.Table:
+            parts = [np.frombuffer(x.as_buffer(), f"<u{len(x.as_buffer()) // part}") for x in group.column("counts")]
+            above = np.sum(parts, axis=0, dtype=np.int64) - mean
+            level = np.floor(np.log2(np.maximum(above / SLOT_NOISE / math.sqrt(mean), 0.5))) + 1
+            return pa.table([group.column("part").slice(0, 1), pa.array([level.astype(np.uint8).tobytes()], pa.binary())], ["part", "levels"])
+
+        counted = self.docs.mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(levels, "part int, levels binary").toArrow()  # a byte for each slot
+        out = np.zeros(1 << bits, np.uint8)
+        for k, found in zip(counted["part"].to_pylist(), counted["levels"].to_pylist(), strict=True):
+            out[k * part : (k + 1) * part] = np.frombuffer(found, np.uint8)
+        return out, bits
 
     def _postings(self, total: int) -> DataFrame:
         """(token, a, at): the first shingles of each set, of which similar sets share one; `at` is
